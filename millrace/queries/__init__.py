@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from millrace.queries import ticks
+
+_FAMILIES = (ticks,)
+
+QUERIES = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _FAMILIES for k, v in m.SQL.items()}
