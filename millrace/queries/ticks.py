@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.ticks import canonical_symbol, table, utc_day
 from millrace.operators import rolling
+from millrace.operators.spikes import flag_magnitudes, flag_readings
 from millrace.operators.skew import value_frequencies, weighted_profile
 
 SYMBOL_SQL = r"nullif(regexp_replace(upper(symbol), '^\s+|\s*(\.CSV\.GZ)?\s*$', '', 'g'), '')"
@@ -110,7 +111,51 @@ select symbol, day, {", ".join(f'''cast(sum(size) over w{n} as bigint) as size_{
 from x window {", ".join(f"w{n} as (partition by symbol order by day rows {n - 1} preceding)" for n in PERIODS)}
 """
 
-QUERIES = {"p3_trades_by_symbol": p3_trades_by_symbol, "p3_quotes_by_symbol": p3_quotes_by_symbol, "p4_rolling": p4_rolling}
+#: Fixed by the statement of problem 5.
+SPIKE_CHANGES, SIZE_TIMES = 25.0, 40.0
+
+
+def _flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Flagged readings, flagged sizes and impossible records of quotes and trades."""
+    symbol = canonical_symbol(F.col("symbol")).alias("symbol")
+    quotes = table(spark, sf_dir, "quotes").select("seq", "time", symbol, "bid", "ask")
+    trades = table(spark, sf_dir, "trades").select("trade_id", "time", symbol, "price", "size")
+    parts = []
+    for df, id, field, other in ((quotes, "seq", "bid", "ask"), (quotes, "seq", "ask", "bid"), (trades, "trade_id", "price", None)):
+        source = "trades" if other is None else "quotes"
+        o = F.col(other) if other else F.lit(None).cast("double")
+        parts.append(df.select(F.lit(f"{source}.{field}").alias("field"), "symbol", "time", F.col(id).alias("rec_id"), F.col(field).alias("value"), o.alias("other")))
+    trade = F.col("field") == "trades.price"
+    readings = flag_readings(
+        parts[0].unionByName(parts[1]).unionByName(parts[2]),
+        by=["field", "symbol"],
+        kind="field",
+        time="time",
+        id="rec_id",
+        value="value",
+        other="other",
+        implausible=SPIKE_CHANGES,
+        stuck_run=F.when(trade, 15).otherwise(20),
+        stuck_other=F.when(trade, 0).otherwise(10),
+        least_run=15,
+    )
+    sizes = flag_magnitudes(trades.select("trade_id", "time", "symbol", "size").distinct(), by=["symbol"], time="time", id="trade_id", value="size", implausible=SIZE_TIMES)
+    impossible = lambda c: (F.col(c) <= 0) | F.isnan(F.col(c))
+    bad = quotes.filter(impossible("bid") | impossible("ask")).select(F.lit("quotes").alias("src"), F.col("seq").alias("rec_id"))
+    bad = bad.unionByName(trades.filter(impossible("price") | (F.col("size") <= 0)).select(F.lit("trades").alias("src"), F.col("trade_id").alias("rec_id")))
+    return readings, sizes, bad
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes and trades that are impossible, stuck or spikes; the limits of the statement are checked on what the operator flags."""
+    readings, sizes, bad = _flagged(spark, sf_dir)
+    src = F.substring_index("field", ".", 1).alias("src")
+    found = readings.filter(F.col("stuck") | (F.col("spike") & (F.col("changes") > SPIKE_CHANGES))).select(src, "rec_id")
+    large = sizes.filter(F.col("times") > SIZE_TIMES).select(F.lit("trades").alias("src"), F.col("trade_id").alias("rec_id"))
+    return found.unionByName(large).unionByName(bad).distinct()
+
+
+QUERIES = {"p5_found": p5_found, "p3_quotes_by_symbol": p3_quotes_by_symbol, "p3_trades_by_symbol": p3_trades_by_symbol, "p4_rolling": p4_rolling}
 SQL = {
     "p3_trades_by_symbol": _profile_sql(
         f"select distinct trade_id, time, {SYMBOL_SQL} as symbol, size, price from trades",
