@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import queries_ticks
+from millrace.llm import queries_text, queries_ticks
 
-QUERIES = {**queries_ticks.QUERIES}
-SQL = {**queries_ticks.SQL}
+QUERIES = {**queries_ticks.QUERIES, **queries_text.QUERIES}
+SQL = {**queries_ticks.SQL, **queries_text.SQL}
