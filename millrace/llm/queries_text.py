@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.functions.ticks import table
+from millrace.llm.encoding import find_garbled
 from millrace.llm.leaks import find_leaks
 
 
@@ -18,5 +19,15 @@ def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_passages": p6_passages}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a character that came out of the wrong encoding."""
+    return p8_restored(spark, sf_dir).select("doc_id")
+
+
+def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the number of wrong characters and the text put right."""
+    return find_garbled(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored, "p6_found": p6_found, "p6_passages": p6_passages}
 SQL: dict[str, str] = {}
