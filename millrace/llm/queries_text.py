@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.functions.ticks import table
 from millrace.llm.encoding import find_garbled
 from millrace.llm.leaks import find_leaks
+from millrace.llm.mixture import mix_sources
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,16 @@ def p6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the mixture and how often each is used."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every source."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with a character that came out of the wrong encoding."""
     return p8_restored(spark, sf_dir).select("doc_id")
@@ -29,5 +40,5 @@ def p8_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_garbled(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p8_found": p8_found, "p8_restored": p8_restored, "p6_found": p6_found, "p6_passages": p6_passages}
+QUERIES = {"p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_restored": p8_restored, "p6_found": p6_found, "p6_passages": p6_passages}
 SQL: dict[str, str] = {}
