@@ -107,7 +107,7 @@ def windowed(df: DataFrame, spec: WindowSpec, trigger: OnEvent | OnCompletion) -
         starts = df.withColumn("__start", last * hop)
     else:
         first = floor_div(ordinal(df, t) - size, hop) + 1
-        starts = df.withColumn("__start", F.explode(F.sequence(first, last)) * hop)
+        starts = df.withColumn("__hop", F.explode(F.sequence(first, last))).withColumn("__start", F.col("__hop") * hop)
     done = starts.groupBy("__start", key).agg(*spec.columns())
     return done.select(_as_time(df, t, F.col("__start")).alias(t), key, *spec.aggregates)
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from millrace.queries import ticks
+from millrace.queries import analytics, inputs, relational, scalars, ticks, timeseries
 
-_FAMILIES = (ticks,)
+_FAMILIES = (ticks, relational, scalars, timeseries, analytics, inputs)
 
 QUERIES = {k: v for m in _FAMILIES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _FAMILIES for k, v in m.SQL.items()}
