@@ -154,6 +154,11 @@ class Model:
         total = np.zeros(len(self.names))
         np.add.at(total, own[own >= 0], c[own >= 0])
         self.total = total
+        self.raw = []
+        for at in (p, n):
+            table = np.zeros((len(self.names), len(_PLACES)))
+            np.add.at(table, (own[own >= 0], at[own >= 0]), c[own >= 0])
+            self.raw.append(table)
         sure = np.array([k == "lower" for k in classes]) | (total >= np.sort(total)[-min(12, len(total))])
         weight = np.where((own >= 0) & sure[np.maximum(own, 0)], c, 0.0)
         self._fit(own, p, n, weight, own_too=False)
@@ -165,6 +170,10 @@ class Model:
             self._fit(own, p, n, e.as_itself(gamma), own_too=True)
         self.prior = e.named(theta)
 
+    def expected(self, x: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How often the corpus has x between p and n, by its bigrams as they stand."""
+        return self.raw[0][x, p] * self.raw[1][x, n] / np.maximum(self.total[x], 1.0)
+
     def _fit(self, own: np.ndarray, p: np.ndarray, n: np.ndarray, weight: np.ndarray, own_too: bool) -> None:
         m, k = len(self.names), len(_PLACES)
         got = own >= 0
@@ -196,7 +205,12 @@ class _Expectation:
         for k, xs in enumerate(lists):
             self.cand[k, : len(xs)] = [model.number[x] for x in xs if x in model.number]
         self.own = np.array([bool(xs) and xs[0] == u for u, xs in zip(self.units, lists)])
-        # most text is right: a unit can't stand for a character more often than half that character's own occurrences
+        # most text is right: a character in use stands for another one only where that one is the commoner between the same neighbours
+        x = np.maximum(self.cand[self.of], 0)
+        usual = model.expected(x, p[:, None], n[:, None])
+        self.open = ~self.own[self.of][:, None] | (usual > usual[:, :1])
+        self.open[:, 0] = True
+        # and a unit can't stand for a character more often than half that character's own occurrences
         seen = np.bincount(self.of, weights=c, minlength=len(self.units))
         most = np.where(self.cand >= 0, model.total[np.maximum(self.cand, 0)], 0.0) * 0.5 / np.maximum(seen, 1)[:, None]
         most[:, 0] = np.where(self.own, 1.0, most[:, 0])
@@ -217,7 +231,7 @@ class _Expectation:
         x = self.cand[self.of]
         with np.errstate(divide="ignore"):
             log = np.log(theta[self.of]) + self.model.before[np.maximum(x, 0), self.p[:, None]] + self.model.after[np.maximum(x, 0), self.n[:, None]]
-        log = np.where(x >= 0, log, -np.inf)
+        log = np.where((x >= 0) & self.open, log, -np.inf)
         top = log.max(axis=1, keepdims=True)
         w = np.exp(log - np.where(np.isfinite(top), top, 0))
         return w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
@@ -273,6 +287,8 @@ class Reader:
             return False, None
         if names[0] != unit:
             return True, names[int(np.argmax(log))]
+        own = m.expected(m.number[unit], _PLACE[p], _PLACE[n])
+        log[1:] = [v if m.expected(m.number[x], _PLACE[p], _PLACE[n]) > own else -np.inf for v, x in zip(log[1:], names[1:])]
         best = int(np.argmax(log))
         return best > 0 and log[best] - log[0] > np.log(ODDS), names[best] if best else None
 
