@@ -97,7 +97,7 @@ def flag_readings(
     )
     read = durable(narrow.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_Slice(ks, least_run), schema))
     finish = _Seams(ks)
-    seams = read.filter("waits is not null").groupBy(F.lit(0).alias("seam")).applyInPandas(lambda pdf: finish(pdf), schema)
+    seams = durable(read.filter("waits is not null").groupBy(F.lit(0).alias("seam")).applyInPandas(lambda pdf: finish(pdf), schema))
     shape = [*ks, "i", "hour", "dist", "step"]
     done = read.filter("dist is not null").select(*shape).unionByName(seams.select(*shape))
     spikes = _spikes(done, ks, ks[by.index(kind)], implausible, risk)
@@ -157,8 +157,8 @@ def peaks(seasonal: DataFrame, source: Sequence[str], kind: str | None, residual
     level = F.pow(F.lit(1.01), F.col("bin").cast("double"))
     weighted = durable(value_frequencies(binned, list(source), "bin").select(*source, of.alias("of"), level.alias("level"), "weight"))
     names = [percentile_name(p) for p in _TAIL]
-    own = weighted_profile(weighted, [*source, "of"], "level", percentiles=_TAIL).drop("mode", "n_distinct")
-    pooled = weighted_profile(weighted.groupBy("of", "level").agg(F.sum("weight").alias("weight")), ["of"], "level", percentiles=_TAIL)
+    own = weighted_profile(weighted, [*source, "of"], "level", percentiles=_TAIL, bounded=True).drop("mode", "n_distinct")
+    pooled = weighted_profile(weighted.groupBy("of", "level").agg(F.sum("weight").alias("weight")), ["of"], "level", percentiles=_TAIL, bounded=True)
     pooled = pooled.select("of", *[F.col(n).alias(f"all_{n}") for n in names])
     both = own.join(broadcast_if_small(pooled, _SMALL), "of")
     cutoff = F.when(F.col("n") >= _FEW, tail_cutoff("", names, risk)).otherwise(tail_cutoff("all_", names, risk))
