@@ -130,7 +130,8 @@ def flag_magnitudes(rows: DataFrame, *, by: Sequence[str], time: str, id: str, v
     season = logs.groupBy(*ks, "hour").agg(F.sum("raw").alias("s"), F.count(F.lit(1)).alias("m"))
     season = durable(season.select(*ks, "hour", (F.col("s") / (F.col("m") + 30)).alias("shift")))
     seasonal = logs.join(broadcast_if_small(season, 24 * _SMALL), [*ks, "hour"]).withColumn("residual", F.col("raw") - F.col("shift"))
-    cutoffs = durable(peaks(seasonal, ks, None, "residual", risk))
+    positive = value_frequencies(seasonal.filter("residual > 0").withColumn("bin", _bin(F.col("residual"))), ks, "bin")
+    cutoffs = durable(peaks(positive, ks, None, risk))
     cap = F.log(F.lit(float(implausible))) - F.col("shift")
     over = seasonal.join(broadcast_if_small(cutoffs, _SMALL), ks).withColumn("cutoff", F.least("cutoff", cap)).filter("residual > cutoff")
     return over.select(*[F.col(k).alias(c) for k, c in zip(ks, by)], F.col("i").alias(id), "times", "residual", "cutoff")
@@ -150,12 +151,19 @@ def tail_cutoff(p: str, tails: Sequence[str], risk: float) -> Column:
     return F.when(F.abs(shape) < 1e-6, u + m * -F.log(far) / F.log(F.lit(2.0))).otherwise(general)
 
 
-def peaks(seasonal: DataFrame, source: Sequence[str], kind: str | None, residual: str, risk: float) -> DataFrame:
-    """Tail cutoff of each source from its positive seasonal residuals: ``source``, ``cutoff``."""
-    binned = seasonal.filter(F.col(residual) > 0).withColumn("bin", F.round(F.log(residual) / F.log(F.lit(1.01))).cast("int"))
+def _bin(c: Column) -> Column:
+    """Number of a 1 % step on a logarithmic grid."""
+    return F.round(F.log(c) / F.log(F.lit(1.01))).cast("int")
+
+
+def _level(c: Column) -> Column:
+    return F.pow(F.lit(1.01), c.cast("double"))
+
+
+def peaks(weighted: DataFrame, source: Sequence[str], kind: str | None, risk: float) -> DataFrame:
+    """Tail cutoff of each source, from its positive seasonal residuals as ``bin`` and ``weight``: ``source``, ``cutoff``."""
     of = F.col(kind) if kind else F.lit(0)
-    level = F.pow(F.lit(1.01), F.col("bin").cast("double"))
-    weighted = durable(value_frequencies(binned, list(source), "bin").select(*source, of.alias("of"), level.alias("level"), "weight"))
+    weighted = durable(weighted.groupBy(*source, "bin").agg(F.sum("weight").alias("weight")).select(*source, of.alias("of"), _level(F.col("bin")).alias("level"), "weight"))
     names = [percentile_name(p) for p in _TAIL]
     own = weighted_profile(weighted, [*source, "of"], "level", percentiles=_TAIL, bounded=True).drop("mode", "n_distinct")
     pooled = weighted_profile(weighted.groupBy("of", "level").agg(F.sum("weight").alias("weight")), ["of"], "level", percentiles=_TAIL, bounded=True)
@@ -169,14 +177,18 @@ def _spikes(done: DataFrame, ks: list[str], kind: str, implausible: float, risk:
     usual = weighted_profile(value_frequencies(done.filter("step > 0"), ks, "step"), ks, "step", percentiles=[0.5])
     usual = durable(usual.select(*ks, F.col("p50").alias("usual")))
     scaled = done.filter("dist > 0").join(broadcast_if_small(usual, _SMALL), ks).select(*ks, "i", "hour", (F.col("dist") / F.col("usual")).alias("changes"))
+    # one pass over the residuals: the season and the tail both come from their counts on a grid
+    counts = durable(value_frequencies(scaled.withColumn("bin", _bin(F.col("changes"))), [*ks, "hour"], "bin"))
     # scale of the hour: mean residual, outliers cut, against that of the whole day; shrunk towards 1 where there are few
-    season = scaled.groupBy(*ks, "hour").agg(F.sum(F.least("changes", F.lit(10.0))).alias("s"), F.count(F.lit(1)).alias("m"))
+    season = counts.groupBy(*ks, "hour").agg(F.sum(F.least(_level(F.col("bin")), F.lit(10.0)) * F.col("weight")).alias("s"), F.sum("weight").alias("m"))
     day = Window.partitionBy(*ks)
     mean = F.sum("s").over(day) / F.sum("m").over(day)
     season = durable(season.withColumn("mean", mean).select(*ks, "hour", ((F.col("s") + F.col("mean") * 30) / (F.col("m") + 30) / F.col("mean")).alias("scale")))
-    seasonal = scaled.join(broadcast_if_small(season, 24 * _SMALL), [*ks, "hour"]).withColumn("residual", F.col("changes") / F.col("scale"))
-    cutoffs = durable(peaks(seasonal, ks, kind, "residual", risk))
-    over = seasonal.join(broadcast_if_small(cutoffs, _SMALL), ks).withColumn("cutoff", F.least("cutoff", F.lit(float(implausible)) / F.col("scale"))).filter("residual > cutoff")
+    small = broadcast_if_small(season, 24 * _SMALL)
+    seasonal = counts.join(small, [*ks, "hour"]).select(*ks, _bin(_level(F.col("bin")) / F.col("scale")).alias("bin"), "weight")
+    cutoffs = durable(peaks(seasonal, ks, kind, risk))
+    over = scaled.join(small, [*ks, "hour"]).withColumn("residual", F.col("changes") / F.col("scale"))
+    over = over.join(broadcast_if_small(cutoffs, _SMALL), ks).withColumn("cutoff", F.least("cutoff", F.lit(float(implausible)) / F.col("scale"))).filter("residual > cutoff")
     return over.select(*ks, "i", F.lit(True).alias("spike"), F.lit(False).alias("stuck"), "changes", "residual", "cutoff")
 
 
