@@ -3,7 +3,7 @@
 Method: a wrong code page is a substitution cipher over the bytes of a text.  A *unit* is
 what one original character has become: one character, or several where UTF-8 was read as
 a single-byte code page, once or repeatedly.  Of every source the corpus gives the counts
-of (character before, unit, character after).  Expectation-maximization learns which
+of documents with (character before, unit, character after).  Expectation-maximization learns which
 original character each unit stands for: the expectation step weighs a unit's possible
 originals, itself among them where it is a character in use, by the bigrams of the original
 with its two neighbours; the maximization step sums these weights into the source's mapping
@@ -281,6 +281,9 @@ class Reader:
         # a character of another script or a sign in no alphabet here is foreign, not wrong, unless a code page makes it of a letter
         if not names:
             return len(unit) == 1 and 0x80 <= ord(unit) <= 0x9F, None
+        # a letter of another script is wrong only in a word of Latin letters
+        if len(unit) == 1 and unit != names[0] and unit.isalpha() and 0x370 <= ord(unit) < 0x2000 and not (p.isalpha() or n.isalpha()):
+            return False, None
         known = self.mapping.get(unit) or m.prior.get(unit) or {}
         log = [np.log(max(known.get(x, 0.0), 1e-9)) + m.before[m.number[x], _PLACE[p]] + m.after[m.number[x], _PLACE[n]] for x in names if x in m.number]
         if not log:
@@ -341,9 +344,9 @@ def find_garbled(documents: DataFrame, *, id: str = "doc_id", text: str = "text"
         held: dict[tuple[str, str, str, str], int] = {}
         for batch in batches:
             for src, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                for p, u, n, _ in occurrences(x.as_py(), cipher):
-                    key = (src, p, u, n)
-                    held[key] = held.get(key, 0) + 1
+                # a document counts once for what it has, so that one odd text doesn't outweigh the rest
+                for k in {(src, p, u, n) for p, u, n, _ in occurrences(x.as_py(), cipher)}:
+                    held[k] = held.get(k, 0) + 1
                 if len(held) > _HELD:
                     yield _counted(held)
                     held = {}
@@ -351,6 +354,8 @@ def find_garbled(documents: DataFrame, *, id: str = "doc_id", text: str = "text"
 
     counted = docs.select("source", "text").mapInArrow(count, "source string, p string, unit string, n string, count long")
     counts = counted.groupBy("source", "p", "unit", "n").agg(F.sum("count").alias("count")).toArrow().to_pandas()
+    if counts.empty:
+        return spark.createDataFrame([], f"`{id}` {documents.schema[id].dataType.simpleString()}, n_wrong long, n_lost long, restored string")
     model = Model(cipher, counts.groupby(["p", "unit", "n"], as_index=False)["count"].sum())
     mappings = {s: learn_source(g, model) for s, g in counts.groupby("source")}
     learnt = spark.sparkContext.broadcast((model, mappings))

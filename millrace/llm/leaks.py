@@ -40,6 +40,9 @@ _AROUND, _SHIFT = 24, 3
 _SUPPORT, _OWN = 0.5, 0.4
 #: Words in a row by which stock sentences are told, least share and number of documents that have them.
 STOCK_WORDS, STOCK_SHARE, STOCK_LEAST = 8, 0.01, 10
+#: Words of a stretch that must be free of errors beside the rate: the least passage of 25 words may
+#: have two, one of 32 words four; sentences of one pattern agree by chance in 22 of 25 words.
+_STRICT = 11
 #: Most words of a page header.
 _HEADER = 18
 
@@ -219,12 +222,13 @@ class ItemIndex:
         near = np.abs((j - i)[:, None] - diagonals[None, :]).min(axis=1) <= _HEADER + _SHIFT
         i, j = i[near], j[near]
         rank = self.rank[lo:hi]
+        first, last = np.append(0, rank[:-1] + 1), np.append(rank[1:] - 1, rank[-1])
         n = len(i)
         score, back, gap = np.ones(n), np.full(n, -1), np.zeros(n)
         reach = np.searchsorted(i, i - 12)  # an alignment that misses twelve words in a row has ended
         for k in range(1, n):
             a = reach[k]
-            di, dj = rank[i[k]] - rank[i[a:k]] - 1, j[k] - j[a:k] - 1
+            di, dj = i[k] - i[a:k] - 1, j[k] - j[a:k] - 1  # words without a number can't be in error
             # a page header in between is one addition, not as many as it has words
             added = np.where(dj - di > 4, np.where(dj - di <= _HEADER, di + 1, 99), dj)
             cost = np.where((i[a:k] < i[k]) & (j[a:k] < j[k]), np.maximum(di, added), 99)
@@ -244,11 +248,12 @@ class ItemIndex:
             if not chain:
                 continue
             chain = np.array(chain[::-1])
-            at, errors = rank[i[chain]], np.cumsum(gap[chain])
-            span = at[None, :] - at[:, None] + 1
+            # words without a number beside a stretch belong to it
+            at, errors = first[i[chain]], np.cumsum(gap[chain])
+            span = last[i[chain]][None, :] - at[:, None] + 1
             wrong = errors[None, :] - errors[:, None]
             own = np.cumsum(self.own[lo:hi][i[chain]])
-            ok = (span >= least) & (wrong <= span * rate) & (own[None, :] - own[:, None] >= least * _OWN)
+            ok = (span >= least) & (wrong <= (span - _STRICT) * rate) & (own[None, :] - own[:, None] >= least * _OWN)
             if ok.any():
                 f, t = np.unravel_index(int(np.where(ok, span, 0).argmax()), ok.shape)
                 if best is None or span[f, t] > best[1]:
@@ -286,8 +291,9 @@ def find_leaks(
     """One row per document and item of which the document reproduces at least ``least`` words in a row.
 
     Columns: ``item_id``, ``doc_id``, ``first_word`` (from 0, of the item), ``words`` and
-    ``errors`` of the longest stretch.  ``rate`` is the most words in error in a stretch:
-    one in eight that were changed on purpose, and some that damage made unreadable.
+    ``errors`` of the longest stretch.  ``rate`` is the share of words in error that a
+    long stretch may have: one in eight that were changed on purpose, and some that damage made
+    unreadable.  Short stretches may have less, as chance likeness is short: two of 25 words, four of 32.
     Defined cases: null, empty or blank texts and items match nothing; items without
     ``least`` words neither; null ids are kept; repeated documents each give their rows;
     items with the same text each match; an empty table on either side gives no rows.  Runs

@@ -94,9 +94,10 @@ def mix_sources(
     most = plan["available"] * plan["max_repeats"]
     if total_tokens is None:
         total_tokens = int((most[live] / plan["share"][live]).min()) if live.any() else 0
-    block = max(1.0, total_tokens / blocks)
+    blocks = min(blocks, total_tokens)
+    block = max(1.0, total_tokens / max(1, blocks))
     plan["capacity"] = np.floor(most / block).astype("int64").where(live, 0)
-    plan["quota"] = sainte_lague(plan["share"].tolist(), blocks if total_tokens else 0, plan["capacity"].tolist())
+    plan["quota"] = sainte_lague(plan["share"].tolist(), blocks, plan["capacity"].tolist())
     plan["shards"] = np.ceil(plan["available"] / shard_tokens).clip(lower=1).astype("int64")
     # one row per source of the targets
     quotas = F.broadcast(spark.createDataFrame(plan[["source", "quota", "shards", "max_repeats"]], "source string, quota long, shards long, max_repeats long"))

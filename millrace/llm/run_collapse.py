@@ -74,7 +74,8 @@ def collapse_runs(
     )
     pieces = durable(slices.mapInArrow(_Agglomerate(keys, values, tolerance, max_gap, min_count), schema))
 
-    seam = Window.partitionBy().orderBy("slice", "t", "i")
+    # a slice has at most a first and a last piece; times of different entities say nothing about their order
+    seam = Window.partitionBy().orderBy("slice", "edge")
 
     def near(j: int) -> Column:
         a, b = F.lag(f"v{j}_last").over(seam), F.col(f"v{j}")
@@ -89,7 +90,7 @@ def collapse_runs(
     linked = reduce(lambda a, b: a & b, [*same, *facing, gap, *[near(j) for j in range(len(fields))]])
     edges = pieces.filter(F.col("edge") != INSIDE).withColumn("new", F.when(F.coalesce(linked, F.lit(False)), 0).otherwise(1))
     edges = edges.withColumn("run", F.sum("new").over(seam.rowsBetween(Window.unboundedPreceding, 0)))
-    start = F.struct("slice", "t", "i")
+    start = F.struct("slice", "edge")
     merged = edges.groupBy("run", *keys).agg(
         F.min("t").alias("t"),
         F.min_by("i", start).alias("i"),
