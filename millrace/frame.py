@@ -13,7 +13,7 @@ from millrace.functions.expr import Expr, raw
 from millrace.functions.sqltext import aliased, split_list
 from millrace.operators import stats, stateful, timejoin, vectors, windows
 from millrace.operators.patterns import match_pattern
-from millrace.plans import durable, merge_columns
+from millrace.plans import broadcast_if_small, durable, merge_columns
 
 _AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max, "mean": F.avg, "avg": F.avg, "count": F.count, "std": F.stddev_samp, "variance": F.var_samp, "count_distinct": F.count_distinct}
 _JOINS = {"inner": "inner", "left": "left", "semi": "left_semi", "anti": "left_anti", "right": "right", "full": "full", "outer": "full"}
@@ -157,14 +157,30 @@ class Frame:
     def distinct(self, keys: str | Sequence[str]) -> Frame:
         return Frame(self.df.select(*_list(keys)).distinct())
 
+    def partition(self, keys: str | Sequence[str] = (), n: int | None = None, how: str = "hash") -> Frame:
+        """Where the rows lie: by ``hash`` or ``range`` of keys, or evenly over ``n`` partitions without keys.
+
+        Later joins and groups on the same hashed keys need no further shuffle.
+        """
+        if how not in ("hash", "range"):
+            raise ValueError("how must be hash or range")
+        keys = _list(keys)
+        _need(self.df, keys)
+        args = [*([n] if n else []), *keys]
+        if not args:
+            raise ValueError("give keys or a number of partitions")
+        return self._new((self.df.repartition if how == "hash" else self.df.repartitionByRange)(*args))
+
     # ---- joins
     def join(
-        self, right: Frame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, suffix: str = "_2", how: str = "inner", maintain_sort_order: Sequence[str] | None = None
+        self, right: Frame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, suffix: str = "_2", how: str = "inner", maintain_sort_order: Sequence[str] | None = None, broadcast_rows: int = 0
     ) -> Frame:
         """Equi-join on one or more keys; left columns, then right ones without its keys, a clash with ``suffix``.
 
         Keys are lists too.  Null keys match nothing.  ``right`` and ``full`` keep the key of
         either side.  ``maintain_sort_order`` names columns to sort the result by.
+        The right side is sent to all executors if it is counted to have at most ``broadcast_rows``
+        rows; else the planner decides by size.
         """
         lk, rk = _list(left_on or on), _list(right_on or on)
         if how not in _JOINS:
@@ -173,7 +189,8 @@ class Frame:
         _need(right.df, rk)
         kept = [c for c in right.schema if c not in rk]
         names = merge_columns(self.schema, kept, suffix)
-        r = right.df.select(*[F.col(c).alias(f"__key{i}") for i, c in enumerate(rk)], *[F.col(c).alias(names[c]) for c in kept])
+        source = broadcast_if_small(right.df, broadcast_rows) if broadcast_rows else right.df
+        r = source.select(*[F.col(c).alias(f"__key{i}") for i, c in enumerate(rk)], *[F.col(c).alias(names[c]) for c in kept])
         on_keys = [F.col(c) == F.col(f"__key{i}") for i, c in enumerate(lk)]
         out = self.df.join(r, on_keys, _JOINS[how])
         if how in ("right", "full", "outer"):

@@ -52,6 +52,19 @@ def test_joins_with_null_keys_and_clashes(spark):
         a.join(b, on="missing")
 
 
+def test_partitions_and_checked_broadcast(spark):
+    e = Engine(spark)
+    a = e.from_spark(spark.createDataFrame([(k % 5, k) for k in range(50)], "k int, v int"))
+    small = e.from_spark(spark.createDataFrame([(k,) for k in range(5)], "k int"))
+    joined = a.join(small, on="k", broadcast_rows=10)
+    assert "BroadcastHashJoin" in plan(joined.df) and joined.length() == 50
+    p = plan(a.partition("k").groupby("k").agg({"*": "count"}).df)
+    assert p.count("Exchange") == 1
+    assert a.partition(["k"], n=3, how="range").df.rdd.getNumPartitions() == 3
+    with pytest.raises(ValueError):
+        a.partition()
+
+
 def test_checks(spark):
     f = Frame(spark.createDataFrame([(1, None), (2, 5.0)], "a int, b double"))
     with pytest.raises(ValueError):
