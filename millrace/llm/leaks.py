@@ -16,6 +16,7 @@ documents are formed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,10 @@ _SEED = 20_11
 _AROUND, _SHIFT = 24, 3
 #: Share of the least passage that must support a hit, and that must not be stock sentences.
 _SUPPORT, _OWN = 0.5, 0.4
-#: Words in a row by which stock sentences are told, least share and number of documents that have them.
+#: Words in a row by which stock sentences are told, least share of the different texts and number of surroundings.
 STOCK_WORDS, STOCK_SHARE, STOCK_LEAST = 8, 0.01, 10
+#: End of a sentence, but not of an abbreviation or a number.
+_SENTENCE_END = re.compile(rb"[a-z\x80-\xff]{3}[.?!]+[^\s\w]{0,4}\s+")
 #: Words of a stretch that must be free of errors beside the rate: the least passage of 25 words may
 #: have two, one of 32 words four; sentences of one pattern agree by chance in 22 of 25 words.
 _STRICT = 11
@@ -58,38 +61,94 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
 
 
 class StockCounter:
-    """Counts, for every run of ``STOCK_WORDS`` words of the items, the documents that have it."""
+    """Counts, for every run of ``STOCK_WORDS`` words of the items, the surroundings it has in the documents."""
 
     def __init__(self, texts: list[str | None]) -> None:
-        self.words, self.item, _ = word_numbers(pa.array(texts, pa.string()))
+        self.words, self.item, at = word_numbers(pa.array(texts, pa.string()))
         grams = _grams(self.words, STOCK_WORDS)
         n = len(grams)
         whole = np.zeros(n, dtype=bool)
-        if n > STOCK_WORDS:
+        if n >= STOCK_WORDS:
             whole[: n - STOCK_WORDS + 1] = self.item[STOCK_WORDS - 1 :] == self.item[: n - STOCK_WORDS + 1]
         self.places = np.flatnonzero(whole)
         self.grams, self.slot = np.unique(grams[self.places], return_inverse=True)
         self.seen = np.zeros(1 << 22, dtype=bool)
         self.seen[self.grams & np.uint32((1 << 22) - 1)] = True
+        self.sentence = self._sentences(texts, at)
+
+    def _sentences(self, texts: list[str | None], at: np.ndarray) -> np.ndarray:
+        """The number of the sentence that each word belongs to."""
+        new = np.zeros(len(self.words), dtype=np.int64)
+        for t, text in enumerate(texts):
+            mine = np.flatnonzero(self.item == t)
+            if len(mine):
+                new[mine[0]] = 1
+                ends = [m.end() for m in _SENTENCE_END.finditer((text or "").encode())]
+                first = np.searchsorted(at[mine], ends)
+                new[mine[first[first < len(mine)]]] = 1
+        return np.cumsum(new)
 
     def count(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of runs found and the documents of this batch that have each."""
+        """Runs found and a number for the words around each, every pair once; run -1 has a number for each text."""
         words, doc, _ = word_numbers(texts)
+        n = len(words)
+        if not n:
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         grams = _grams(words, STOCK_WORDS)
         may = np.flatnonzero(self.seen[grams & np.uint32((1 << 22) - 1)])
         g = grams[may]
         slot = np.minimum(np.searchsorted(self.grams, g), max(0, len(self.grams) - 1))
         ok = self.grams[slot] == g if len(self.grams) else np.zeros(len(g), dtype=bool)
-        pairs = np.unique(slot[ok].astype(np.int64) * (len(texts) + 1) + doc[may[ok]])
-        return np.unique(pairs // (len(texts) + 1), return_counts=True)
+        ok &= doc[np.minimum(may + STOCK_WORDS - 1, n - 1)] == doc[may]
+        may, slot = may[ok], slot[ok]
+        # runs that follow one another have the words before the first and after the last around them
+        new = np.ones(len(may), dtype=bool)
+        new[1:] = (np.diff(may) != 1) | (np.diff(doc[may]) != 0)
+        firsts = np.flatnonzero(new)
+        lasts = np.append(firsts[1:], len(may))[: len(firsts)] - 1
+        around = np.zeros(len(firsts), dtype=np.uint64)
+        for edge, step in ((may[firsts], -1), (may[lasts] + STOCK_WORDS - 1, 1)):
+            for k in range(1, STOCK_WORDS + 1):
+                at = np.clip(edge + k * step, 0, n - 1)
+                inside = (edge + k * step >= 0) & (edge + k * step < n) & (doc[at] == doc[edge])
+                around = (around ^ np.where(inside, words[at], np.uint32(0))) * np.uint64(0x9E3779B97F4A7C15)
+                around ^= around >> np.uint64(29)
+        starts = np.flatnonzero(np.append(True, np.diff(doc) != 0))
+        mixed = (words.astype(np.uint64) + np.uint64(1)) * (np.arange(n, dtype=np.uint64) - np.repeat(starts, np.diff(np.append(starts, n))).astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        whole = np.add.reduceat(mixed ^ (mixed >> np.uint64(29)), starts)
+        run = np.concatenate([slot.astype(np.int64), np.full(len(starts), -1)])
+        where = np.concatenate([np.repeat(around, lasts - firsts + 1), whole]).view(np.int64)
+        order = np.lexsort((where, run))
+        run, where = run[order], where[order]
+        once = np.append(True, (np.diff(run) != 0) | (np.diff(where) != 0))
+        return run[once], where[once]
 
     def stock(self, counts: dict[int, int], documents: int) -> np.ndarray:
-        """Which item words belong to a run that at least ``STOCK_SHARE`` of the documents have."""
+        """Which item words belong to a stock sentence.
+
+        That is a stretch of runs that ``STOCK_SHARE`` of the different texts or more have, in as many
+        surroundings, and that ends at one place inside the item: most texts that have it don't go
+        on as the item does.  A passage that leaks often has no such end, or covers more than a sentence.
+        """
         least = max(STOCK_LEAST, STOCK_SHARE * documents)
-        common = np.array([counts.get(k, 0) >= least for k in range(len(self.grams))], dtype=bool)
+        n = np.array([counts.get(k, 0) for k in range(len(self.grams))], dtype=np.int64)[self.slot] if len(self.grams) else np.empty(0, dtype=np.int64)
         out = np.zeros(len(self.words), dtype=bool)
-        for place in self.places[common[self.slot]] if len(self.grams) else []:
-            out[place : place + STOCK_WORDS] = True
+        if not len(n):
+            return out
+        same = np.diff(self.places) == 1
+        same &= self.item[self.places[1:]] == self.item[self.places[:-1]]
+        falls, rises = same & (n[1:] * 2 < n[:-1]), same & (n[:-1] * 2 < n[1:])
+        split = ~same | falls | rises | ((n[1:] >= least) != (n[:-1] >= least))
+        firsts = np.flatnonzero(np.append(True, split))
+        lasts = np.append(firsts[1:], len(n)) - 1
+        for f, t in zip(firsts.tolist(), lasts.tolist()):
+            ends = (f > 0 and rises[f - 1]) or (t < len(n) - 1 and falls[t])
+            if n[f] < least or not ends:
+                continue
+            words = slice(self.places[f], self.places[t] + STOCK_WORDS)
+            long = np.unique(self.sentence[words], return_counts=True)[1] >= STOCK_WORDS
+            if long.sum() < 2:
+                out[words] = True
         return out
 
 
@@ -297,8 +356,9 @@ def find_leaks(
     Defined cases: null, empty or blank texts and items match nothing; items without
     ``least`` words neither; null ids are kept; repeated documents each give their rows;
     items with the same text each match; an empty table on either side gives no rows.  Runs
-    of words that at least 1 % of all documents have (and at least ten) are stock sentences:
-    a stretch may hold them but must have two fifths of ``least`` besides.
+    of words that occur in as many different surroundings as 1 % of the different texts (and at
+    least ten), and that most texts end at the same place inside the item, are stock sentences: a
+    stretch may hold them but must have two fifths of ``least`` besides.
     """
     spark = documents.sparkSession
     listed = items.select(F.col(item_id).cast("long"), F.col(item_text)).filter(F.col(item_text).isNotNull()).toArrow()
@@ -309,16 +369,14 @@ def find_leaks(
         counter = spark.sparkContext.broadcast(StockCounter([texts[k] for k in block]))
 
         def count(batches: Iterator[pa.RecordBatch], counter=counter) -> Iterator[pa.RecordBatch]:
-            total: dict[int, int] = {}
             for batch in batches:
-                total[-1] = total.get(-1, 0) + batch.num_rows
                 for _, part in slices(batch.column(0)):
-                    for k, n in zip(*[x.tolist() for x in counter.value.count(part)]):
-                        total[k] = total.get(k, 0) + n
-            yield pa.record_batch([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["run", "n"])
+                    run, where = counter.value.count(part)
+                    yield pa.record_batch([pa.array(run), pa.array(where)], names=["run", "around"])
 
         # one number per run of words of the items, whatever the corpus
-        counts = docs.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).toArrow()
+        around = docs.select("text").mapInArrow(count, "run long, around long").distinct()
+        counts = around.groupBy("run").agg(F.count("around").alias("n")).toArrow()
         found = dict(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist()))
         stock = counter.value.stock(found, found.get(-1, 0))
         index = spark.sparkContext.broadcast(ItemIndex([ids[k] for k in block], [texts[k] for k in block], stock=stock))

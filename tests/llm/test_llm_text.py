@@ -85,6 +85,25 @@ def test_stock_sentences_are_no_leak(spark, items):
     assert leak_found(spark, docs, {1: stock + " and so it was decided."}) == set()
 
 
+def test_a_passage_that_leaks_often_is_no_stock_sentence(spark):
+    item = (
+        "Belkar Dunstov paid 6,564 crowns for the printing stone in the autumn of 2001, and the pilot withheld the minutes of the meeting. "
+        "Some months later Morvik Halden disputed the tidal meadow near the railway siding, although the architect retained the deposit. "
+        "The salt barge was worth 1,007 crowns when Tolrin Gasper concealed the deposit at the toll house."
+    )
+    words = item.split()
+    rng = random.Random(3)
+
+    def filler():
+        return " ".join("".join(rng.choices("bdfgklmnprst", k=5)) for _ in range(40))
+
+    # copies of one ruling, other rulings with the whole item, and with the same two sentences
+    copy = f"{filler()} {' '.join(words[3:34])} {filler()}"
+    for texts in ([copy] * 40, [f"{filler()} {item} {filler()}" for _ in range(40)], [f"{filler()} {' '.join(words[:40])} {filler()}" for _ in range(40)]):
+        docs = texts + [filler() for _ in range(80)]
+        assert leak_found(spark, docs, {1: item}) == {(1, k) for k in range(40)}
+
+
 def test_sainte_lague_is_one_seat_after_the_other():
     rng = random.Random(2)
     for _ in range(100):
