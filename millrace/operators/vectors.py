@@ -14,6 +14,8 @@ from millrace.plans import merge_columns
 
 #: Most values (vectors times dimensions) of the probe side that go to the executors at once.
 MOST_VALUES = 32_000_000
+#: Most similarities that a task works out at once.
+MOST_SIMILARITIES = 4_000_000
 
 
 def _matrix(col: pa.Array) -> np.ndarray:
@@ -49,29 +51,25 @@ def vector_join(
     for start in range(0, local.num_rows, per):
         block = spark.sparkContext.broadcast(local.slice(start, per).combine_chunks())
 
-        def best(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
+        step = max(1, MOST_SIMILARITIES // min(per, local.num_rows - start))
+
+        def best(batches: Iterator[pa.RecordBatch], block=block, step=step) -> Iterator[pa.RecordBatch]:
             table = block.value
             q = _matrix(table.column(right).combine_chunks())
             held = None
             for b in batches:
-                rows = pa.Table.from_batches([b])
-                sim = _matrix(b.column(at)) @ q.T
-                if k is None:
-                    i, j = np.nonzero(sim >= least)
-                    yield from _pairs(rows, table, i, j, sim[i, j], names)
-                    continue
-                if held is not None:  # the best so far compete with the new rows
-                    rows = pa.concat_tables([held[0], rows])
-                    sim = np.concatenate([held[1], sim])
-                top = _top(sim, k)
-                need = np.unique(top)
-                held = (rows.take(pa.array(need)), sim[need])
+                for first in range(0, b.num_rows, step):
+                    rows = pa.Table.from_batches([b.slice(first, step)])
+                    sim = _matrix(rows.column(at).combine_chunks()) @ q.T
+                    if k is None:
+                        i, j = np.nonzero(sim >= least)
+                        yield from _pairs(rows, table, i, j, sim[i, j], names)
+                    else:
+                        held = _best_of(held, rows, sim, k)
             if held is not None:
-                rows, sim = held
-                top = _top(sim, k)
-                j = np.broadcast_to(np.arange(sim.shape[1]), top.shape).ravel()
-                i = top.ravel()
-                yield from _pairs(rows, table, i, j, sim[i, j], names)
+                rows, i, sim = held
+                j = np.broadcast_to(np.arange(sim.shape[1]), sim.shape).ravel()
+                yield from _pairs(rows, table, i.ravel(), j, sim.ravel(), names)
 
         parts.append(s.mapInArrow(best, schema))
     if not parts:
@@ -87,6 +85,20 @@ def vector_join(
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _best_of(held: tuple[pa.Table, np.ndarray, np.ndarray] | None, rows: pa.Table, sim: np.ndarray, k: int) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The best ``k`` of each probe among those held and the new rows: rows, the places in them, similarities."""
+    place = _top(sim, k)
+    sim = np.take_along_axis(sim, place, axis=0)
+    if held is not None:  # the best so far compete with the new rows
+        place = np.concatenate([held[1], place + held[0].num_rows])
+        sim = np.concatenate([held[2], sim])
+        rows = pa.concat_tables([held[0], rows])
+        top = _top(sim, k)
+        place, sim = np.take_along_axis(place, top, axis=0), np.take_along_axis(sim, top, axis=0)
+    need, at = np.unique(place, return_inverse=True)
+    return rows.take(pa.array(need)), at.reshape(place.shape), sim
+
+
 def _top(sim: np.ndarray, k: int) -> np.ndarray:
     """Rows of the ``k`` greatest of each column."""
     if len(sim) <= k:

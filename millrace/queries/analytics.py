@@ -92,6 +92,37 @@ def vector_range(t: Tables) -> Frame:
     return t.embeddings.select(["vec_id", "embedding"]).vector_range_join(probe, "embedding", 0.3).filter_sql("vec_id <> probe").select(["vec_id", "probe"])
 
 
+def _probes(t: Tables) -> Frame:
+    """The searches of the queries over the whole table: every fiftieth row, so they grow with it."""
+    return t.embeddings.filter_sql("vec_id % 50 = 0").rename({"vec_id": "probe"}).select(["probe", "embedding"])
+
+
+@add()
+def vector_knn_all(t: Tables) -> Frame:
+    got = t.embeddings.select(["vec_id", "embedding"]).vector_nn_join(_probes(t), "embedding", k=5)
+    return Frame(got.df.select("vec_id", "probe", "rank", F.round("similarity", 6).alias("similarity")))
+
+
+@add()
+def vector_knn_filtered_all(t: Tables) -> Frame:
+    got = t.embeddings.filter_sql("label = 3").select(["vec_id", "embedding"]).vector_nn_join(_probes(t), "embedding", k=3)
+    return got.select(["vec_id", "probe", "rank"])
+
+
+@add()
+def vector_knn_left_all(t: Tables) -> Frame:
+    """The nearest other row of the whole table: of the two nearest, the first that isn't the row itself."""
+    other = t.embeddings.rename({"vec_id": "nearest"}).select(["nearest", "embedding"])
+    got = _probes(t).vector_nn_join(other, "embedding", k=2, probe_side="left").filter_sql("probe <> nearest")
+    return got.groupby("probe").agg_sql("min_by(nearest, rank) as nearest").rename({"probe": "vec_id"})
+
+
+@add()
+def vector_range_all(t: Tables) -> Frame:
+    got = t.embeddings.select(["vec_id", "embedding"]).vector_range_join(_probes(t), "embedding", 0.3)
+    return got.filter_sql("vec_id <> probe").select(["vec_id", "probe"])
+
+
 _STEPS = [("a", "event_type = 'view'"), ("b", "event_type = 'click' and value > a.value"), ("c", "event_type = 'purchase' and value < b.value")]
 _CEP = """with m as (select a.user_id, a.ts as a_ts, a.event_id as a_event_id, b.ts as b_ts, b.event_id as b_event_id, c.ts as c_ts, c.event_id as c_event_id,
 row_number() over (partition by a.event_id order by c.ts, b.ts, b.event_id, c.event_id) as r from events a join events b on a.user_id = b.user_id and b.ts > a.ts and b.ts <= a.ts + interval 1 day and b.value > a.value

@@ -1,5 +1,7 @@
 """Every query of the core against its SQL on the smallest tables."""
 
+import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from millrace.plans.compare import rows_of, sql_rows
@@ -37,3 +39,25 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_vector_searches_of_the_whole_table(spark, sf, monkeypatch):
+    """Every fiftieth row against all rows, by brute force."""
+    monkeypatch.setattr("millrace.operators.vectors.MOST_SIMILARITIES", 70)
+    t = pq.read_table(f"{sf}/embeddings.parquet").to_pydict()
+    ids, m = t["vec_id"], np.array(t["embedding"], dtype="float64")
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    sim = {p: dict(zip(ids, m @ m[k])) for k, p in enumerate(ids) if p % 50 == 0}
+    label = dict(zip(ids, t["label"]))
+
+    def nearest(p, n, keep):
+        return sorted((i for i in ids if keep(i)), key=lambda i: (-sim[p][i], i))[:n]
+
+    def got(name, *columns):
+        return {tuple(r[c] for c in columns) for r in QUERIES[name](spark, sf).collect()}
+
+    assert len(sim) == len(ids) / 50
+    assert got("vector_knn_all", "probe", "vec_id", "rank") == {(p, i, r) for p in sim for r, i in enumerate(nearest(p, 5, lambda i: True), 1)}
+    assert got("vector_knn_filtered_all", "probe", "vec_id", "rank") == {(p, i, r) for p in sim for r, i in enumerate(nearest(p, 3, lambda i: label[i] == 3), 1)}
+    assert got("vector_knn_left_all", "vec_id", "nearest") == {(p, nearest(p, 1, lambda i: i != p)[0]) for p in sim}
+    assert got("vector_range_all", "probe", "vec_id") == {(p, i) for p in sim for i in ids if i != p and sim[p][i] >= 0.3}
