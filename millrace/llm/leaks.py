@@ -283,7 +283,7 @@ class ItemIndex:
         rank = self.rank[lo:hi]
         first, last = np.append(0, rank[:-1] + 1), np.append(rank[1:] - 1, rank[-1])
         n = len(i)
-        score, back, gap = np.ones(n), np.full(n, -1), np.zeros(n)
+        score, back, gap = np.ones(n), np.full(n, -1, dtype=np.int64), np.zeros(n)
         reach = np.searchsorted(i, i - 12)  # an alignment that misses twelve words in a row has ended
         for k in range(1, n):
             a = reach[k]
@@ -296,28 +296,30 @@ class ItemIndex:
                 b = int(gain.argmax())
                 if gain[b] > 0:
                     score[k], back[k], gap[k] = gain[b] + 1, a + b, cost[b]
-        best = None
-        used = np.zeros(n, dtype=bool)
-        for end in np.argsort(-score, kind="stable")[:3]:
-            chain, k = [], int(end)
-            while k >= 0 and not used[k]:
-                chain.append(k)
-                used[k] = True
-                k = int(back[k])
-            if not chain:
-                continue
-            chain = np.array(chain[::-1])
-            # words without a number beside a stretch belong to it
-            at, errors = first[i[chain]], np.cumsum(gap[chain])
-            span = last[i[chain]][None, :] - at[:, None] + 1
-            wrong = errors[None, :] - errors[:, None]
-            own = np.cumsum(self.own[lo:hi][i[chain]])
-            ok = (span >= least) & (wrong <= (span - _STRICT) * rate) & (own[None, :] - own[:, None] >= least * _OWN)
-            if ok.any():
-                f, t = np.unravel_index(int(np.where(ok, span, 0).argmax()), ok.shape)
-                if best is None or span[f, t] > best[1]:
-                    best = (int(at[f]), int(span[f, t]), int(wrong[f, t]))
-        return best
+        # every stretch of every chain: all ends go back along their chains together
+        errors, own, root = gap.copy(), self.own[lo:hi][i].astype(np.int64), np.arange(n)
+        for k in np.flatnonzero(back >= 0):
+            errors[k] += errors[back[k]]
+            own[k] += own[back[k]]
+            root[k] = root[back[k]]
+        # the chain of the best score that has a stretch, and of that chain the longest
+        chain = np.empty(n, dtype=np.int64)
+        chain[np.argsort(-score, kind="stable")] = np.arange(n)
+        for k in np.flatnonzero(back >= 0)[::-1]:
+            chain[back[k]] = min(chain[back[k]], chain[k])
+        at, end = first[i], last[i]  # words without a number beside a stretch belong to it
+        t = np.flatnonzero(end - at[root] + 1 >= least)
+        f, best = t, None
+        while len(t):
+            span, wrong = end[t] - at[f] + 1, errors[t] - errors[f]
+            ok = np.flatnonzero((span >= least) & (wrong <= (span - _STRICT) * rate) & (own[t] - own[f] >= least * _OWN))
+            if len(ok):
+                k = ok[np.lexsort((t[ok], f[ok], -span[ok], chain[t[ok]]))[0]]
+                found = (int(chain[t[k]]), -int(span[k]), int(f[k]), int(t[k]))
+                best = found if best is None else min(best, found)
+            more = back[f] >= 0
+            t, f = t[more], back[f[more]]
+        return best and (int(at[best[2]]), -best[1], int(errors[best[3]] - errors[best[2]]))
 
 
 #: Bytes of text that are worked on at once.

@@ -104,6 +104,18 @@ def test_a_passage_that_leaks_often_is_no_stock_sentence(spark):
         assert leak_found(spark, docs, {1: item}) == {(1, k) for k in range(40)}
 
 
+def invented(rng, n):
+    return ["".join(rng.choices("bdfgklmnprst", k=5)) for _ in range(n)]
+
+
+def test_a_loose_likeness_does_not_hide_a_passage(spark):
+    rng = random.Random(5)
+    item = invented(rng, 120)
+    loose = [w if k % 18 < 12 else invented(rng, 1)[0] for k, w in enumerate(item)]
+    texts = [[*item[40:68], *invented(rng, 50), *loose], [*loose, *invented(rng, 50), *item[40:68]], loose]
+    assert leak_found(spark, [" ".join(x) for x in texts], {1: " ".join(item)}) == {(1, 0), (1, 1)}
+
+
 def test_sainte_lague_is_one_seat_after_the_other():
     rng = random.Random(2)
     for _ in range(100):
