@@ -46,8 +46,9 @@ _SENTENCE_END = re.compile(rb"[a-z\x80-\xff]{3}[.?!]+[^\s\w]{0,4}\s+")
 #: Words of a stretch that must be free of errors beside the rate: the least passage of 25 words may
 #: have two, one of 32 words four; sentences of one pattern agree by chance in 22 of 25 words.
 _STRICT = 11
-#: Most words of a page header.
+#: Most words of a page header, and the middles of the lengths that support is looked for beyond.
 _HEADER = 18
+_JUMPS = tuple(range(2 * _SHIFT + 1, _HEADER + _SHIFT + 1, 2 * _SHIFT + 1))
 
 
 def _grams(words: np.ndarray, n: int) -> np.ndarray:
@@ -244,7 +245,11 @@ class ItemIndex:
         # one hit for each few words of a diagonal
         _, one = np.unique(np.stack([doc[p], self.item[q], (p - q) >> 2, q >> 3]), axis=1, return_index=True)
         p, q = p[one], q[one]
-        keep = self._support(_grams(words, 2), p, q) >= least * _SUPPORT
+        bigrams = _grams(words, 2)
+        keep = self._support(bigrams, p, q) >= least * _SUPPORT
+        rest = np.flatnonzero(~keep)
+        for few in np.array_split(rest, len(rest) // 20_000 + 1):
+            keep[few] = self._support_over_header(bigrams, p[few], q[few]) >= least * _SUPPORT
         p, q = p[keep], q[keep]
         out = []
         pair = doc[p] * np.int64(len(self.ids)) + self.item[q]
@@ -269,6 +274,35 @@ class ItemIndex:
             total += found & inside
         return total
 
+    def _support_over_header(self, bigrams: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """The same where on either side of a hit the document may have a page header in between."""
+        n, m = len(bigrams), len(self.words)
+        total = np.zeros(len(p), dtype=np.int16)
+        reach = _AROUND + _JUMPS[-1] + _SHIFT
+        around = [bigrams[np.clip(p + x, 0, n - 1)] for x in range(-reach, reach + 1)]
+        for side in (np.arange(_AROUND + 1), -np.arange(1, _AROUND + 1)):
+            straight = np.zeros(len(p), dtype=np.int16)
+            jumped = [np.zeros(len(p), dtype=np.int16) for _ in _JUMPS]
+            for o in side.tolist():
+                j = np.clip(q + o, 0, m - 1)
+                want, inside = self.bigrams[j], (self.item[j] == self.item[q]) & (q + o >= 0) & (q + o < m)
+                founds = []
+                for jump in (0, *_JUMPS):
+                    found = np.zeros(len(p), dtype=bool)
+                    for shift in range(-_SHIFT, _SHIFT + 1):
+                        found |= around[reach + o + shift + (jump if o >= 0 else -jump)] == want
+                    founds.append(found & inside)
+                # the most so far beyond a header of each length: straight until here, or over it before
+                for x, found in zip(jumped, founds[1:]):
+                    np.maximum(x, straight, out=x)
+                    x += found
+                straight += founds[0]
+            best = straight
+            for x in jumped:
+                best = np.maximum(best, x)
+            total += best
+        return total
+
     def _align(self, words: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, least: int, rate: float) -> tuple[int, int, int] | None:
         """The longest stretch of the item that an alignment of the two word sequences covers within the error rate."""
         item = self.item[q[0]]

@@ -116,6 +116,18 @@ def test_a_loose_likeness_does_not_hide_a_passage(spark):
     assert leak_found(spark, [" ".join(x) for x in texts], {1: " ".join(item)}) == {(1, 0), (1, 1)}
 
 
+def test_a_header_within_a_short_passage(spark):
+    rng = random.Random(7)
+    item, texts = invented(rng, 60), []
+    for header in ("- 3 -", "High Court of Ropa - Case No. RVF-2004-0000429 - page 3", " ".join(invented(rng, 18))):
+        for at in (12, 13):
+            for changed in ((), (6, 19)):
+                part = [w if k not in changed else "bdfgk" for k, w in enumerate(item[20:48])]
+                texts.append(" ".join([*invented(rng, 60), *part[:at], header, *part[at:], *invented(rng, 60)]))
+    apart = " ".join([*invented(rng, 60), *item[20:32], *invented(rng, 30), *item[32:45], *invented(rng, 60)])
+    assert leak_found(spark, [*texts, apart], {1: " ".join(item)}) == {(1, k) for k in range(len(texts))}
+
+
 def test_sainte_lague_is_one_seat_after_the_other():
     rng = random.Random(2)
     for _ in range(100):
