@@ -12,12 +12,17 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; where unset (local tests), a temporary folder."""
+    """The cluster's ``spark.checkpoint.dir``; where unset, a temporary folder in local mode and an error on a cluster.
+
+    A folder of one machine is no folder of the others: what an executor writes there, no other can read.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if jvm_dir.isDefined():
             where = jvm_dir.get()
+        elif not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         else:
             where = "file://" + tempfile.mkdtemp(prefix="millrace-")
             spark.sparkContext.setCheckpointDir(where)

@@ -120,26 +120,19 @@ def _flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     symbol = canonical_symbol(F.col("symbol")).alias("symbol")
     quotes = table(spark, sf_dir, "quotes").select("seq", "time", symbol, "bid", "ask")
     trades = table(spark, sf_dir, "trades").select("trade_id", "time", symbol, "price", "size")
-    parts = []
-    for df, id, field, other in ((quotes, "seq", "bid", "ask"), (quotes, "seq", "ask", "bid"), (trades, "trade_id", "price", None)):
-        source = "trades" if other is None else "quotes"
-        o = F.col(other) if other else F.lit(None).cast("double")
-        parts.append(df.select(F.lit(f"{source}.{field}").alias("field"), "symbol", "time", F.col(id).alias("rec_id"), F.col(field).alias("value"), o.alias("other")))
-    trade = F.col("field") == "trades.price"
     readings = flag_readings(
-        parts[0].unionByName(parts[1]).unionByName(parts[2]),
-        by=["field", "symbol"],
-        kind="field",
+        quotes.select(F.lit("quotes").alias("src"), "symbol", "time", F.col("seq").alias("rec_id"), F.col("bid").alias("first"), F.col("ask").alias("second")).unionByName(
+            trades.select(F.lit("trades").alias("src"), "symbol", "time", F.col("trade_id").alias("rec_id"), F.col("price").alias("first"), F.lit(None).cast("double").alias("second"))
+        ),
+        by=["src", "symbol"],
+        kind="src",
         time="time",
         id="rec_id",
-        value="value",
-        other="other",
-        implausible=SPIKE_CHANGES,
-        stuck_run=F.when(trade, 15).otherwise(20),
-        stuck_other=F.when(trade, 0).otherwise(10),
-        least_run=15,
+        values=["first", "second"],
+        others={"first": "second", "second": "first"},
+        stuck={"quotes": (20, 10), "trades": (15, 0)},
     )
-    sizes = flag_magnitudes(trades.select("trade_id", "time", "symbol", "size").distinct(), by=["symbol"], time="time", id="trade_id", value="size", implausible=SIZE_TIMES)
+    sizes = flag_magnitudes(trades.select("trade_id", "time", "symbol", "size").distinct(), by=["symbol"], time="time", id="trade_id", value="size")
     impossible = lambda c: (F.col(c) <= 0) | F.isnan(F.col(c))
     bad = quotes.filter(impossible("bid") | impossible("ask")).select(F.lit("quotes").alias("src"), F.col("seq").alias("rec_id"))
     bad = bad.unionByName(trades.filter(impossible("price") | (F.col("size") <= 0)).select(F.lit("trades").alias("src"), F.col("trade_id").alias("rec_id")))
@@ -147,15 +140,27 @@ def _flagged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes and trades that are impossible, stuck or spikes; the limits of the statement are checked on what the operator flags."""
+    """Quotes and trades that are impossible, stuck or spikes.
+
+    A spike is what the fitted cutoff of its source flags; the limits of the statement are
+    then checked exactly on what is flagged.
+    """
     readings, sizes, bad = _flagged(spark, sf_dir)
-    src = F.substring_index("field", ".", 1).alias("src")
-    found = readings.filter(F.col("stuck") | (F.col("spike") & (F.col("changes") > SPIKE_CHANGES))).select(src, "rec_id")
+    found = readings.filter(F.col("stuck") | (F.col("spike") & (F.col("changes") > SPIKE_CHANGES))).select("src", "rec_id")
     large = sizes.filter(F.col("times") > SIZE_TIMES).select(F.lit("trades").alias("src"), F.col("trade_id").alias("rec_id"))
     return found.unionByName(large).unionByName(bad).distinct()
 
 
-QUERIES = {"p5_found": p5_found, "p3_quotes_by_symbol": p3_quotes_by_symbol, "p3_trades_by_symbol": p3_trades_by_symbol, "p4_rolling": p4_rolling}
+def p5_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fitted cutoffs alone flag, with the residual and the cutoff; no limit of the statement takes part."""
+    readings, sizes, _ = _flagged(spark, sf_dir)
+    field = F.when(F.col("src") == "trades", "price").when(F.col("field") == "first", "bid").otherwise("ask")
+    spikes = readings.filter("spike").select("src", "rec_id", field.alias("field"), "changes", "residual", "cutoff")
+    large = sizes.select(F.lit("trades").alias("src"), F.col("trade_id").alias("rec_id"), F.lit("size").alias("field"), F.col("times").alias("changes"), "residual", "cutoff")
+    return spikes.unionByName(large)
+
+
+QUERIES = {"p5_found": p5_found, "p5_flags": p5_flags, "p3_quotes_by_symbol": p3_quotes_by_symbol, "p3_trades_by_symbol": p3_trades_by_symbol, "p4_rolling": p4_rolling}
 SQL = {
     "p3_trades_by_symbol": _profile_sql(
         f"select distinct trade_id, time, {SYMBOL_SQL} as symbol, size, price from trades",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import rolling
 from millrace.operators.skew import value_frequencies, weighted_profile
-from millrace.operators.spikes import flag_magnitudes, flag_readings
+from millrace.operators.spikes import fit_tail, flag_magnitudes, flag_readings, tail_cutoff
 
 
 def test_profile(spark):
@@ -79,8 +79,8 @@ def _readings(spark, values, other=None, kind="q", source="s"):
 
 
 def _flags(df, **how):
-    how = {"stuck_run": 20, "stuck_other": 10, **how}
-    got = flag_readings(df, by=["kind", "src"], kind="kind", time="time", id="id", value="v", other="o", implausible=25.0, **how)
+    how = {"stuck": (20, 10), **how}
+    got = flag_readings(df, by=["kind", "src"], kind="kind", time="time", id="id", values=["v", "o"], others={"v": "o"}, **how).filter("field = 'v'")
     return {r["id"]: r for r in got.collect()}
 
 
@@ -108,6 +108,10 @@ def test_spikes(spark, partitions):
         got = _flags(df.union(df))  # every row twice
         found = {k for k, r in got.items() if r["spike"] and r["changes"] > 25}
         assert found == {100, 300, 301, 302}
+        assert all(r["residual"] > r["cutoff"] for r in got.values() if r["spike"])
+        # the same in another unit
+        small = _flags(_readings(spark, [None if x is None else x * 1e-8 for x in v]))
+        assert {k for k, r in small.items() if r["spike"] and r["changes"] > 25} == found
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 8)
 
@@ -128,6 +132,44 @@ def test_stuck(spark, partitions):
         spark.conf.set("spark.sql.shuffle.partitions", 8)
 
 
+def test_stuck_runs_over_many_slices(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", 8)
+    v, o = walk(4000), [10 + k / 100 for k in range(4000)]
+    v[300:3500] = [7.77] * 3200  # fills several slices
+    o[300:3300] = [5.0] * 3000  # the other side moves at the end only
+    df = _readings(spark, v, o).union(_readings(spark, [7.77] * 19, list(map(float, range(19))), source="t").withColumn("id", F.col("id") + 10_000))
+    assert {k for k, r in _flags(df).items() if r["stuck"]} == set(range(300, 3500))
+    both = _flags(df, stuck={"q": (19, 0)})
+    assert {k for k, r in both.items() if r["stuck"]} == {*range(300, 3500), *range(10_000, 10_019)}
+    assert not any(r["stuck"] for r in _flags(df, stuck={"z": (2, 0)}).values())
+
+
+def test_the_fitted_tail_decides(spark, monkeypatch):
+    v = walk(900)
+    for k in (100, 300, 700):
+        v[k] += 40.0
+    df = _readings(spark, v)
+    assert {k for k, r in _flags(df).items() if r["spike"]} >= {100, 300, 700}
+    monkeypatch.setattr("millrace.operators.spikes.tail_cutoff", lambda fit, risk: 1e300)
+    assert not any(r["spike"] for r in _flags(df).values())
+
+
+@pytest.mark.parametrize("shape", [-0.2, 0.1, 0.3])
+def test_tail_fit(shape):
+    """A known law is found within its standard error, also with spikes beyond it; the cutoff is exceeded as often as the risk says."""
+    rng = np.random.default_rng(4)
+    excess = (rng.uniform(size=200_000) ** -shape - 1) / shape
+    fit = fit_tail(excess, np.ones(len(excess)))
+    assert abs(fit[3] - shape) < 4 * fit[4]
+    assert 5e-4 < (excess > tail_cutoff(fit, 1e-3)).mean() < 2e-3
+    level = np.concatenate([excess, rng.uniform(1e3, 1e6, 600)])
+    fit = fit_tail(level, np.ones(len(level)))
+    assert abs(fit[3] - shape) < 4 * fit[4] + 0.1
+    assert (excess > tail_cutoff(fit, 1e-3)).mean() < 2e-3 and tail_cutoff(fit, 1e-3) < 1e3
+    u, tail, scale, xi, error = fit_tail(np.array([1.0, 1.0]), np.array([5.0, 5.0]))
+    assert (u, scale) == (1.0, 0.0) and tail_cutoff((u, tail, scale, xi, error), 1e-5) == 1.0
+
+
 def test_flags_of_empty_constant_and_clashing_tables(spark):
     empty = _readings(spark, [1.0]).limit(0)
     assert _flags(empty) == {}
@@ -135,6 +177,6 @@ def test_flags_of_empty_constant_and_clashing_tables(spark):
     clash = _readings(spark, walk(50)).withColumns({"k0": F.lit(1), "t": F.lit(2), "slice": F.lit(3), "I": F.lit(4)})
     assert _flags(clash.drop("I")) == {}
     sizes = spark.createDataFrame([("a", k, k, s) for k, s in enumerate([10] * 60 + [401, 400, None, 0, -5])] + [(None, 1, 99, 10_000)], "s string, t long, i long, n long")
-    got = flag_magnitudes(sizes, by=["s"], time="t", id="i", value="n", implausible=40.0)
+    got = flag_magnitudes(sizes, by=["s"], time="t", id="i", value="n")
     assert {r["i"] for r in got.filter("times > 40").collect()} == {60}
-    assert flag_magnitudes(sizes.limit(0), by=["s"], time="t", id="i", value="n", implausible=40.0).count() == 0
+    assert flag_magnitudes(sizes.limit(0), by=["s"], time="t", id="i", value="n").count() == 0
