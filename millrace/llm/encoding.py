@@ -2,24 +2,32 @@
 
 Method: a wrong code page is a substitution cipher over the bytes of a text.  A *unit* is
 what one original character has become: one character, or several where UTF-8 was read as
-a single-byte code page, once or repeatedly.  Of every source the corpus gives the counts
-of documents with (character before, unit, character after).  Expectation-maximization learns which
-original character each unit stands for: the expectation step weighs a unit's possible
-originals, itself among them where it is a character in use, by the bigrams of the original
-with its two neighbours; the maximization step sums these weights into the source's mapping
-and re-estimates the bigrams from the occurrences that are read as themselves.  The mapping
-is then applied with ``translate`` and replacement.
+a single-byte code page, once or repeatedly.  The corpus gives the counts of documents with
+(character before, unit, character after).  The model says how they came about: an original
+is drawn by its frequency and its bigrams with the two neighbours, then stays as it is or
+goes through a *swap*.  Swaps are all pairs of an encoding and a page to read it with that
+the running Python knows (none is singled out), and one unknown swap, whose table from
+units to originals is learnt with the rest.  Expectation-maximization learns the share of
+every swap, the table of the unknown one, the frequencies and the bigrams; a second run per
+source, with the corpus as prior, learns the shares and the table of each source.
+
+A unit is wrong if an original behind a swap is likelier than the unit itself, rightly
+used; a character of another script or a sign in no alphabet has a likelihood of its own,
+by its kind and its neighbours.  What the swaps of a document are is then judged by all its
+wrong units together, and the mapping is applied with ``translate`` and replacement.
 
 Scale: the corpus is read once for the counts, combined per task, and once to apply the
-mapping.  Counts, bigrams and mapping are bounded by the alphabets, not by the corpus.
+mapping.  To the driver go counts over all sources, bounded by the alphabets and the pages,
+and a few rows per source, a bounded number of sources at a time.
 """
 
 from __future__ import annotations
 
+import encodings.aliases
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,25 +35,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.plans import durable, packed, unpacked
+
 #: Letters and typographic characters in use in the languages of Latin script (public alphabets).
 LETTERS = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœßąćęłńóśźżčďěňřšťůžőűăâîșțşğıđ"
-SYMBOLS = "’‘“”„‚«»‹›–—…•·§¶©®™°ºª±×÷¿¡€£¥¢µ¹²³¼½¾†‡‰¬¦¨´¸¯  ­ ‐‑█"
-#: Pairs of the encoding of the bytes and the one they were read with.
-SWAPS = [("utf-8", w) for w in ("cp1252", "latin-1", "cp1250", "cp1251", "mac_roman", "cp437", "cp850", "iso8859-15", "iso8859-2")]
-SWAPS += [("cp1252", w) for w in ("mac_roman", "cp437", "cp850", "cp1250", "cp1251", "iso8859-2")]
-SWAPS += [(t, w) for t in ("mac_roman", "cp437", "cp850", "cp1250", "iso8859-2") for w in ("cp1252", "latin-1")]
-SWAPS += [("cp1250", w) for w in ("mac_roman", "cp437", "cp850")]
+SYMBOLS = "’‘“”„‚«»‹›–—…•·§¶©®™°ºª±×÷¿¡€£¥¢µ¹²³¼½¾†‡‰¬¦¨´¸¯‐‑█\u00a0\u202f\u00ad\u2009"
 #: A text may have gone through the same swap of UTF-8 so often.
 DEPTH = 3
-LOST = "�"
-#: Weight of an original that a unit may stand for, before anything is learnt, if the unit may also be itself.
-_RARE = 0.02
-_SMOOTH = 50.0
-_ROUNDS = 12
+LOST = "\ufffd"
 #: A unit that may be itself counts as wrong if that is so many times likelier.
 ODDS = 1000.0
+#: Least posterior probability of an original that is put into the text.
+SURE = 0.8
+#: Shares before anything is learnt: of all swaps of UTF-8, of all others, of the unknown one; and the weight of these, in occurrences.
+_START = (0.01, 0.01, 0.0005)
+_PRIOR = 500.0
+#: Weight of the corpus, in occurrences, where a source is learnt.
+_CORPUS = 200.0
+#: Units that the unknown swap might make of a character, and characters of a kind in no alphabet here.
+_POSSIBLE = 10_000.0
+#: Occurrences that the unknown swap is expected to have of each original before any is seen.
+_UNSEEN = 20.0
+_SMOOTH = 50.0
+_ROUNDS = 12
 #: Counts held by a task before it passes them on.
 _HELD = 300_000
+#: Sources whose shares and tables are sent to the executors at once; more sources take several scans.
+MOST_SOURCES = 5_000
 
 
 def decode(raw: bytes, encoding: str) -> str:
@@ -56,7 +72,6 @@ def decode(raw: bytes, encoding: str) -> str:
         return "".join(_one(b, encoding) for b in raw)
 
 
-@lru_cache(None)
 def _one(b: int, encoding: str) -> str:
     try:
         return bytes([b]).decode(encoding)
@@ -64,30 +79,80 @@ def _one(b: int, encoding: str) -> str:
         return chr(b)
 
 
+def code_pages() -> dict[str, str]:
+    """Every single-byte encoding of this Python whose lower half is ASCII: its name and the characters of its upper half."""
+    pages: dict[str, str] = {}
+    for name in sorted(set(encodings.aliases.aliases.values())):
+        try:
+            if bytes(range(128)).decode(name) != "".join(map(chr, range(128))):
+                continue
+            upper = [_one(b, name) for b in range(128, 256)]
+            defined = bytes(b for b in range(128, 256) if _defined(b, name))
+            if len(defined) >= 80 and all(len(c) == 1 for c in upper) and defined.decode(name) == "".join(upper[b - 128] for b in defined):
+                pages.setdefault("".join(upper), name)
+        except (LookupError, UnicodeError, TypeError, AttributeError, ValueError):
+            continue
+    return {name: upper for upper, name in pages.items()}
+
+
+def _defined(b: int, name: str) -> bool:
+    try:
+        return len(bytes([b]).decode(name)) == 1
+    except UnicodeDecodeError:
+        return False
+
+
+def in_use() -> list[str]:
+    letters = dict.fromkeys(LETTERS + LETTERS.upper().replace("SS", ""))
+    return sorted({c for c in [*letters, *SYMBOLS] if len(c) == 1 and ord(c) > 127})
+
+
 class Cipher:
-    """What each unit may stand for, by the public code pages."""
-
-    def __init__(self) -> None:
-        letters = dict.fromkeys(LETTERS + LETTERS.upper().replace("SS", ""))
-        self.clean = {c for c in [*letters, *SYMBOLS] if len(c) == 1 and ord(c) > 127}
-        self.originals: dict[str, set[str]] = {}
-        for true, wrong in SWAPS:
-            for c in self.clean:
-                text = c
-                for _ in range(DEPTH if true == "utf-8" else 1):
-                    try:
-                        text = decode(text.encode(true), wrong)
-                    except UnicodeEncodeError:
-                        break
-                    if text == c or all(ord(x) < 128 for x in text):
-                        break
-                    self.originals.setdefault(text, set()).add(c)
-        self.longest = max(map(len, self.originals))
-        self.heads = {u[0] for u in self.originals if len(u) > 1}
+    """What each unit may stand for by each swap.
+
+    ``originals[unit]`` is a list of (original, number of the swap); ``swaps`` names them.
+    """
+
+    def __init__(self, pages: dict[str, str] | None = None) -> None:
+        pages = code_pages() if pages is None else pages
+        self.clean = in_use()
+        self.swaps: list[tuple[str, str, int]] = []
+        self.originals: dict[str, list[tuple[str, int]]] = {}
+        known: set[tuple] = set()
+        for wrong in pages:
+            texts = {c: c for c in self.clean}
+            for depth in range(1, DEPTH + 1):
+                texts = {c: decode(t.encode(), wrong) for c, t in texts.items()}
+                self._add(("utf-8", wrong, depth), texts, known)
+        for true, upper in pages.items():
+            at = {c: k for k, c in enumerate(upper) if c in set(self.clean)}
+            for wrong, read in pages.items():
+                if wrong != true:
+                    self._add((true, wrong, 1), {c: read[k] for c, k in at.items() if read[k] != c}, known)
+
+    def _add(self, name: tuple[str, str, int], texts: dict[str, str], known: set[tuple]) -> None:
+        same = tuple(sorted(texts.items()))
+        if same and same not in known:
+            known.add(same)
+            for c, t in texts.items():
+                if any(ord(x) > 127 for x in t):
+                    self.originals.setdefault(t, []).append((c, len(self.swaps)))
+            self.swaps.append(name)
+
+
+class Cutter:
+    """Cuts a run of characters outside ASCII into units, the longest known one first.
+
+    ``free``: a short run that isn't known at all and isn't in use is one unit, for the unknown swap.
+    """
+
+    def __init__(self, several: set[str], clean: set[str], free: bool) -> None:
+        self.several, self.clean, self.free = several, clean, free
+        self.longest = max(map(len, several), default=1)
+        self.heads = {u[0] for u in several}
         self.memo: dict[str, list[str]] = {}
 
     def units(self, run: str) -> list[str]:
-        """A run of characters outside ASCII cut into units, the longest known one first."""
         if len(run) == 1:
             return [run]
         got = self.memo.get(run)
@@ -96,33 +161,31 @@ class Cipher:
             while k < len(run):
                 n = 1
                 if run[k] in self.heads:
-                    n = next((m for m in range(min(self.longest, len(run) - k), 1, -1) if run[k : k + m] in self.originals), 1)
+                    n = next((m for m in range(min(self.longest, len(run) - k), 1, -1) if run[k : k + m] in self.several), 1)
                 got.append(run[k : k + n])
                 k += n
+            if self.free and len(run) <= 3 and len(got) == len(run) and not all(c in self.clean or c == LOST or unicodedata.combining(c) for c in run):
+                got = [run]
             if len(self.memo) < 100_000:
                 self.memo[run] = got
         return got
 
-    def candidates(self, unit: str) -> list[str]:
-        """What a unit may stand for; itself comes first if it is in use."""
-        own = [unit] if unit in self.clean or len(unit) == 1 and unicodedata.combining(unit) else []
-        return own + sorted(self.originals.get(unit, set()) - {unit})
-
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _NEAR = {c: c for c in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"} | {c: "0" for c in "0123456789"} | {c: " " for c in " \t\r\n"}
 _OTHER, _FOREIGN = ".", "~"
 _PLACES = [*"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0", " ", _OTHER, _FOREIGN]
 _PLACE = {c: k for k, c in enumerate(_PLACES)}
+_LATIN = np.array([c.isalpha() for c in _PLACES])
 
 
-def occurrences(text: str, cipher: Cipher) -> Iterator[tuple[str, str, str, int]]:
+def occurrences(text: str, cutter: Cutter) -> Iterator[tuple[str, str, str, int]]:
     """(before, unit, after, place) of every unit; at the ends of the text stands a blank."""
     for m in _RUN.finditer(text):
         a, b = m.span()
         before = _NEAR.get(text[a - 1], _OTHER) if a else " "
         after = _NEAR.get(text[b], _OTHER) if b < len(text) else " "
-        units = cipher.units(m.group())
+        units = cutter.units(m.group())
         for k, u in enumerate(units):
             yield before if k == 0 else _FOREIGN, u, after if k == len(units) - 1 else _FOREIGN, a
             a += len(u)
@@ -134,47 +197,74 @@ def _class(c: str) -> str:
     return c if c in "’" else {"Pi": "open", "Ps": "open", "Pf": "close", "Pe": "close", "Zs": "space", "Mn": "mark"}.get(unicodedata.category(c), "symbol")
 
 
+def _foreign_kind(c: str) -> int:
+    """1 for a letter, 0 for a sign; decides how likely a character in no alphabet is between its neighbours."""
+    return int(c.isalpha())
+
+
+#: Neighbours of a foreign sign and of a foreign letter: another character outside ASCII, a blank, a sign, a digit, a Latin letter.
+def _foreign_neighbours() -> np.ndarray:
+    out = np.zeros((2, len(_PLACES)))
+    for kind, (same, blank, sign, digit, latin) in enumerate(((0.2, 0.5, 0.15, 0.1, 0.05), (0.6, 0.25, 0.1, 0.0498, 0.0002))):
+        out[kind, _PLACE[_FOREIGN]], out[kind, _PLACE[" "]], out[kind, _PLACE[_OTHER]], out[kind, _PLACE["0"]] = same, blank, sign, digit
+        out[kind, _LATIN] = latin / _LATIN.sum()
+    return np.log(out)
+
+
+_FOREIGN_NEAR = _foreign_neighbours()
+#: Share of characters in no alphabet here among all, by kind, each of them one of many.
+_FOREIGN_RATE = np.log(np.array([1e-4, 1e-3]) / (_POSSIBLE / 10))
+
+
 class Model:
-    """Bigrams of the characters in use with their neighbours, and the prior of each unit's originals."""
+    """Frequencies and bigrams of the characters in use, shares of the swaps and table of the unknown one."""
 
     def __init__(self, cipher: Cipher, counts: pd.DataFrame) -> None:
         self.cipher = cipher
-        self.prior: dict[str, dict[str, float]] = {}
-        counts = counts[counts["unit"].str.len() > 0]
-        self.names = sorted(cipher.clean | {u for u in counts["unit"].unique() if len(u) == 1 and unicodedata.combining(u)})
+        unit = counts["unit"].to_numpy(dtype=object)
+        marks = {u for u in counts["unit"].unique() if len(u) == 1 and unicodedata.combining(u)}
+        self.names = sorted(set(cipher.clean) | marks)
         self.number = {c: k for k, c in enumerate(self.names)}
         classes = [_class(c) for c in self.names]
         kinds = sorted(set(classes))
         self.kind = np.array([kinds.index(k) for k in classes])
-        unit = counts["unit"].to_numpy()
-        own = np.array([self.number.get(u, -1) for u in unit])
+        own = np.array([self.number.get(u, -1) for u in unit], dtype=np.int64)
         p, n = counts["p"].map(_PLACE).to_numpy(), counts["n"].map(_PLACE).to_numpy()
         c = counts["count"].to_numpy(dtype="float64")
-        # start: only lower case letters and the commonest characters are taken as themselves
-        total = np.zeros(len(self.names))
-        np.add.at(total, own[own >= 0], c[own >= 0])
-        self.total = total
+        got = own >= 0
+        self.total = np.bincount(own[got], c[got], len(self.names))
         self.raw = []
         for at in (p, n):
             table = np.zeros((len(self.names), len(_PLACES)))
-            np.add.at(table, (own[own >= 0], at[own >= 0]), c[own >= 0])
+            np.add.at(table, (own[got], at[got]), c[got])
             self.raw.append(table)
-        sure = np.array([k == "lower" for k in classes]) | (total >= np.sort(total)[-min(12, len(total))])
-        weight = np.where((own >= 0) & sure[np.maximum(own, 0)], c, 0.0)
-        self._fit(own, p, n, weight, own_too=False)
-        e = _Expectation(cipher, self, unit, p, n, c)
-        theta = e.start()
-        for _ in range(_ROUNDS):
-            gamma = e.weights(theta)
-            theta = e.mapping(gamma, None)
-            self._fit(own, p, n, e.as_itself(gamma), own_too=True)
-        self.prior = e.named(theta)
-
-    def expected(self, x: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """How often the corpus has x between p and n, by its bigrams as they stand."""
+        # start: only lower case letters and the commonest characters are taken as themselves
+        sure = np.array([k == "lower" for k in classes]) | (self.total >= np.sort(self.total)[-min(12, len(self.total))])
+        self._fit(own, p, n, np.where(got & sure[np.maximum(own, 0)], c, 0.0))
+        utf8 = np.array([t == "utf-8" for t, _, _ in cipher.swaps], dtype=bool)
+        self.share0 = np.where(utf8, _START[0] / max(1, utf8.sum()), _START[1] / max(1, (~utf8).sum()))
+        self.share, self.free = self.share0.copy(), _START[2]
+        self.table: dict[str, np.ndarray] = {}
+        self.explained: set[str] = set()
+        e = Expectation(self, unit, p, n, c)
+        for k in range(_ROUNDS):
+            if k < _ROUNDS // 3:  # first without the unknown swap
+                e.free = 0.0
+            elif k == _ROUNDS // 3:
+                # what the public swaps make of a unit isn't asked of the unknown one
+                self.explained = {str(u) for u, share in zip(e.units, e.by_public) if share >= 0.5}
+                e = Expectation(self, unit, p, n, c)
+                e.share, e.free = self.share, _START[2]
+            e.step(self.share0 * _PRIOR, _START[2] * _PRIOR)
+            self.share, self.free = e.share, e.free
+            self._fit(own, p, n, np.where(got, e.as_itself, 0.0))
+        self.table = e.learnt_table()
+
+    def usual(self, x: np.ndarray, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """How often the corpus has x between p and n, by its raw counts."""
         return self.raw[0][x, p] * self.raw[1][x, n] / np.maximum(self.total[x], 1.0)
 
-    def _fit(self, own: np.ndarray, p: np.ndarray, n: np.ndarray, weight: np.ndarray, own_too: bool) -> None:
+    def _fit(self, own: np.ndarray, p: np.ndarray, n: np.ndarray, weight: np.ndarray) -> None:
         m, k = len(self.names), len(_PLACES)
         got = own >= 0
         logs = []
@@ -184,131 +274,221 @@ class Model:
             by_class = np.zeros((self.kind.max() + 1, k))
             np.add.at(by_class, self.kind, table)
             by_class = (by_class + 0.01) / (by_class + 0.01).sum(axis=1, keepdims=True)
-            mine = table if own_too else np.where((self.kind == self.kind)[:, None], table, 0)
-            share = (mine + _SMOOTH * by_class[self.kind]) / (mine.sum(axis=1, keepdims=True) + _SMOOTH)
-            logs.append(np.log(share))
+            logs.append(np.log((table + _SMOOTH * by_class[self.kind]) / (table.sum(axis=1, keepdims=True) + _SMOOTH)))
         self.before, self.after = logs
-        used = np.zeros(m)
-        np.add.at(used, own[got], weight[got])
-        self.used = used
-
-
-class _Expectation:
-    """The two steps over a table of occurrences; one column per possible original of the unit."""
-
-    def __init__(self, cipher: Cipher, model: Model, unit: np.ndarray, p: np.ndarray, n: np.ndarray, c: np.ndarray) -> None:
-        self.model, self.c, self.p, self.n = model, c, p, n
-        self.units, self.of = np.unique(unit.astype(str), return_inverse=True)
-        lists = [cipher.candidates(u) for u in self.units]
-        width = max([1, *map(len, lists)])
-        self.cand = np.full((len(self.units), width), -1)
-        for k, xs in enumerate(lists):
-            self.cand[k, : len(xs)] = [model.number[x] for x in xs if x in model.number]
-        self.own = np.array([bool(xs) and xs[0] == u for u, xs in zip(self.units, lists)])
-        # most text is right: a character in use stands for another one only where that one is the commoner between the same neighbours
-        x = np.maximum(self.cand[self.of], 0)
-        usual = model.expected(x, p[:, None], n[:, None])
-        self.open = ~self.own[self.of][:, None] | (usual > usual[:, :1])
-        self.open[:, 0] = True
-        # and a unit can't stand for a character more often than half that character's own occurrences
-        seen = np.bincount(self.of, weights=c, minlength=len(self.units))
-        most = np.where(self.cand >= 0, model.total[np.maximum(self.cand, 0)], 0.0) * 0.5 / np.maximum(seen, 1)[:, None]
-        most[:, 0] = np.where(self.own, 1.0, most[:, 0])
-        self.most = np.where(self.own[:, None], np.minimum(most, 1.0), 1.0)
-
-    def start(self) -> np.ndarray:
-        used = np.where(self.cand >= 0, np.log1p(self.model.used[np.maximum(self.cand, 0)]) + 0.1, 0.0)
-        prior = [self.model.prior.get(u) for u in self.units]
-        theta = used / np.maximum(used.sum(axis=1, keepdims=True), 1e-9)
-        rest = np.where(self.own[:, None], _RARE, 1.0) * theta
-        rest[:, 0] = np.where(self.own, 1 - _RARE, rest[:, 0])
-        for k, known in enumerate(prior):
-            if known:
-                rest[k] = [known.get(self.model.names[x], 1e-9) if x >= 0 else 0.0 for x in self.cand[k]]
-        return rest
-
-    def weights(self, theta: np.ndarray) -> np.ndarray:
-        x = self.cand[self.of]
-        with np.errstate(divide="ignore"):
-            log = np.log(theta[self.of]) + self.model.before[np.maximum(x, 0), self.p[:, None]] + self.model.after[np.maximum(x, 0), self.n[:, None]]
-        log = np.where((x >= 0) & self.open, log, -np.inf)
-        top = log.max(axis=1, keepdims=True)
-        w = np.exp(log - np.where(np.isfinite(top), top, 0))
-        return w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300)
-
-    def mapping(self, gamma: np.ndarray, prior: np.ndarray | None) -> np.ndarray:
-        total = np.full(self.cand.shape, 1e-6) if prior is None else prior * 20.0
-        np.add.at(total, self.of, gamma * self.c[:, None])
-        theta = np.minimum(total / np.maximum(total.sum(axis=1, keepdims=True), 1e-300), self.most)
-        theta[:, 0] += np.where(self.own, 1 - theta.sum(axis=1), 0.0)
-        return theta
-
-    def as_itself(self, gamma: np.ndarray) -> np.ndarray:
-        return np.where(self.own[self.of], gamma[:, 0] * self.c, 0.0)
-
-    def named(self, theta: np.ndarray) -> dict[str, dict[str, float]]:
-        return {u: {self.model.names[x]: float(t) for x, t in zip(self.cand[k], theta[k]) if x >= 0} for k, u in enumerate(self.units)}
-
-
-def learn_source(counts: pd.DataFrame, model: Model) -> dict[str, dict[str, float]]:
-    """The mapping of one source: a few rounds from the prior of the whole corpus."""
-    e = _Expectation(model.cipher, model, counts["unit"].to_numpy(), counts["p"].map(_PLACE).to_numpy(), counts["n"].map(_PLACE).to_numpy(), counts["count"].to_numpy(dtype="float64"))
-    prior = theta = e.start()
-    for _ in range(3):
-        theta = e.mapping(e.weights(theta), prior)
-    return e.named(theta)
+        used = np.bincount(own[got], weight[got], m) + 0.5
+        self.often = np.log(used / used.sum())
+
+    def itself(self, unit: str, p: int, n: int) -> float:
+        """Logarithm of the likelihood of a unit that is rightly there, all its characters."""
+        total, last, foreign = 0.0, len(unit) - 1, _PLACE[_FOREIGN]
+        for k, c in enumerate(unit):
+            a, z = p if k == 0 else foreign, n if k == last else foreign
+            x = self.number.get(c)
+            if x is None:
+                kind = _foreign_kind(c)
+                total += _FOREIGN_RATE[kind] + _FOREIGN_NEAR[kind, a] + _FOREIGN_NEAR[kind, z]
+            else:
+                total += self.often[x] + self.before[x, a] + self.after[x, z]
+        return float(total)
+
+
+class Expectation:
+    """The two steps over a table of (before, unit, after) counts; one column per character in use."""
+
+    def __init__(self, model: Model, unit: np.ndarray, p: np.ndarray, n: np.ndarray, c: np.ndarray) -> None:
+        self.model, self.p, self.n, self.c = model, p, n, c
+        # the characters of units that no public swap makes are units too: they may each have come about by themselves
+        apart = sorted({ch for u in set(unit) if len(u) > 1 and u not in model.cipher.originals for ch in u})
+        self.units, of = np.unique(np.concatenate([unit, np.array(apart, dtype=object)]).astype(str), return_inverse=True)
+        self.of = of[: len(unit)]
+        m, x = len(self.units), len(model.names)
+        entries = [(k, model.number[o], z) for k, u in enumerate(self.units) for o, z in model.cipher.originals.get(u, ()) if o != u]
+        self.eu, self.ex, self.ez = (np.array(a, dtype=np.int64) for a in zip(*entries)) if entries else (np.empty(0, dtype=np.int64),) * 3
+        self.own = np.array([model.number.get(u, -1) for u in self.units])
+        self.share, self.free = model.share, model.free
+        # the unknown swap makes nothing that is in use
+        self.may = np.array([u != LOST and not model.explained & {u, *u} and not all(ch in model.number for ch in u) for u in self.units])
+        self.phi = np.zeros((m, x))
+        for k, u in enumerate(self.units):
+            if self.may[k]:
+                self.phi[k] = np.maximum(model.table.get(u, 0.0), 1.0 / _POSSIBLE)
+        # and can't stand for it more often than half that one's own occurrences
+        self.most = np.where(self.own[:, None] >= 0, model.total[None, :] * 0.5, np.inf)
+        # the characters of all units, for the likelihood that they are rightly there
+        foreign = _PLACE[_FOREIGN]
+        chars = [(r, model.number.get(ch, -1), _foreign_kind(ch), int(p[r]) if j == 0 else foreign, int(n[r]) if j == len(self.units[k]) - 1 else foreign) for r, k in enumerate(self.of) for j, ch in enumerate(self.units[k])]
+        self.row, self.x, self.sort, self.a, self.z = (np.array(v, dtype=np.int64) for v in zip(*chars))
+        number = {str(u): k for k, u in enumerate(self.units)}
+        letters = [ch for k in self.of for ch in self.units[k]]
+        alone = [len(self.units[k]) > 1 and str(self.units[k]) not in model.cipher.originals for k in self.of for _ in self.units[k]]
+        self.apart = np.flatnonzero(alone)
+        self.apart_unit = np.array([number[letters[k]] for k in self.apart], dtype=np.int64)
+
+    def itself(self) -> np.ndarray:
+        """``Model.itself`` of every row; the characters of a unit of the unknown swap may also have been swapped one by one."""
+        m, known = self.model, self.x >= 0
+        x = np.maximum(self.x, 0)
+        inside = m.often[x] + m.before[x, self.a] + m.after[x, self.z]
+        outside = _FOREIGN_RATE[self.sort] + _FOREIGN_NEAR[self.sort, self.a] + _FOREIGN_NEAR[self.sort, self.z]
+        each = np.where(known, inside, outside)
+        if len(self.apart):
+            a, z = self.a[self.apart], self.z[self.apart]
+            swapped = (self.any[self.apart_unit] * np.exp(m.often[None, :] + m.before[:, a].T + m.after[:, z].T)).sum(axis=1)
+            each[self.apart] = np.log(np.exp(each[self.apart]) + swapped)
+        return np.bincount(self.row, each, len(self.c))
+
+    def emission(self) -> np.ndarray:
+        """Probability that an original becomes the unit, by any swap."""
+        e = np.zeros((len(self.units), len(self.model.names)))
+        np.add.at(e, (self.eu, self.ex), self.share[self.ez])
+        self.public = e
+        self.any = e + self.free * self.phi
+        return self.any
+
+    def step(self, prior: np.ndarray, free_prior: float) -> None:
+        m = self.model
+        e = self.emission()
+        rightly = np.exp(self.itself()) * max(1e-9, 1.0 - float(self.share.sum()) - self.free)
+        total = np.zeros_like(e)
+        self.as_itself = np.zeros(len(self.c))
+        for part in np.array_split(np.arange(len(self.c)), len(self.c) // 20_000 + 1):
+            u, p, n = self.of[part], self.p[part], self.n[part]
+            w = e[u] * np.exp(m.often[None, :] + m.before[:, p].T + m.after[:, n].T)
+            # most text is right: a character in use stands for another one only where that one is the commoner between the same neighbours
+            used = np.flatnonzero(self.own[u] >= 0)
+            usual = m.usual(np.arange(len(m.names))[None, :], p[used][:, None], n[used][:, None])
+            w[used] = np.where(usual > usual[np.arange(len(used)), self.own[u[used]]][:, None], w[used], 0.0)
+            norm = np.maximum(w.sum(axis=1) + rightly[part], 1e-300)
+            np.add.at(total, u, w * (self.c[part] / norm)[:, None])
+            self.as_itself[part] = rightly[part] / norm * self.c[part]
+        total = np.minimum(total, self.most)
+        n_all = float(self.c.sum())
+        with np.errstate(invalid="ignore", divide="ignore"):
+            by = np.where(e[self.eu, self.ex] > 0, total[self.eu, self.ex] * self.share[self.ez] / e[self.eu, self.ex], 0.0)
+            emitted = np.where(e > 0, total * (e - self.public) / e, 0.0)
+        self.by_public = np.where(e > 0, total * self.public / np.maximum(e, 1e-300), 0.0).sum(axis=1) / np.maximum(np.bincount(self.of, self.c, len(self.units)), 1.0)
+        self.found, self.emitted = np.bincount(self.ez, by, len(self.share)), emitted
+        self.share = (self.found + prior) / (n_all + _PRIOR)
+        self.free = (float(emitted.sum()) + free_prior) / (n_all + _PRIOR)
+        base = 1.0 / _POSSIBLE
+        self.phi = np.where(self.may[:, None], (emitted + base * _UNSEEN) / (emitted.sum(axis=0)[None, :] + _UNSEEN), 0.0)
+
+    def learnt_table(self) -> dict[str, np.ndarray]:
+        """Units of the unknown swap that occur more than now and then.
+
+        A character is either a unit or a part of units, whichever it is more often; and a cipher
+        makes one original of a unit, where one has most of it.
+        """
+        weight = {str(u): float(w) for u, w in zip(self.units, self.emitted.sum(axis=1)) if w >= 2.0}
+        part: dict[str, float] = {}
+        for u, w in weight.items():
+            if len(u) > 1:
+                for ch in set(u):
+                    part[ch] = part.get(ch, 0.0) + w
+        out = {}
+        for k, u in enumerate(map(str, self.units)):
+            if u in weight and (all(part[ch] > weight.get(ch, 0.0) for ch in u) if len(u) > 1 else weight[u] >= part.get(u, 0.0)):
+                best = int(self.emitted[k].argmax())
+                sole = self.emitted[k, best] >= 0.5 * weight[u]
+                out[u] = np.where(np.arange(self.phi.shape[1]) == best, self.phi[k], 0.0) if sole else self.phi[k]
+        return out
+
+
+def learn_source(counts: pd.DataFrame, model: Model) -> tuple[dict[int, float], float, dict[str, dict[str, float]]]:
+    """Shares of the swaps that are found in one source, of the unknown swap, and its table, from the corpus as prior."""
+    p, n = counts["p"].map(_PLACE).to_numpy(), counts["n"].map(_PLACE).to_numpy()
+    e = Expectation(model, counts["unit"].to_numpy(dtype=object), p, n, counts["count"].to_numpy(dtype="float64"))
+    prior, free = model.share * _CORPUS, model.free * _CORPUS
+    for _ in range(4):
+        e.step(prior, free)
+    found = {int(z): float(e.share[z]) for z in np.flatnonzero(e.found >= 0.3)}
+    table = {}
+    for u, row in e.learnt_table().items():
+        table[u] = {model.names[x]: float(row[x]) for x in np.flatnonzero(row > 1.5 / _POSSIBLE)}
+    return found, float(e.free), table
 
 
 class Reader:
-    """Judges every unit of a text by its source's mapping and its two neighbours."""
-
-    def __init__(self, model: Model, mapping: dict[str, dict[str, float]]) -> None:
-        self.model, self.mapping = model, mapping
-        self.memo: dict[tuple[str, str, str], tuple[bool, str | None]] = {}
-
-    def judge(self, p: str, unit: str, n: str) -> tuple[bool, str | None]:
-        """Whether the unit is wrong, and the original if there is one."""
+    """Judges every unit of a text by the swaps of its source and its two neighbours."""
+
+    def __init__(self, model: dict, found: dict[int, float], free: float, table: dict[str, dict[str, float]]) -> None:
+        self.__dict__.update(model)
+        self.found, self.free, self.table = found, free, table
+        self.right = max(1e-9, 1.0 - sum(found.values()) - free)
+        # the swaps of the source come to the fore; those found elsewhere in the corpus stay possible
+        several = {u for u in self.originals if len(u) > 1} | {u for u in table if len(u) > 1}
+        self.cutter = Cutter(several, set(self.clean), False)
+        self.memo: dict[tuple[str, str, str], tuple[bool, list]] = {}
+
+    def behind(self, p: str, unit: str, n: str) -> tuple[bool, list[tuple[float, str, int]]]:
+        """Whether the unit is wrong, and the (weight, original, swap) behind it; swap -1 is the unknown one."""
         key = (p, unit, n)
         if key not in self.memo:
-            self.memo[key] = self._judge(p, unit, n)
+            self.memo[key] = self._behind(p, unit, n)
         return self.memo[key]
 
-    def _judge(self, p: str, unit: str, n: str) -> tuple[bool, str | None]:
-        m = self.model
+    def _behind(self, p: str, unit: str, n: str) -> tuple[bool, list[tuple[float, str, int]]]:
         if unit == LOST:
-            return True, None
-        names = m.cipher.candidates(unit)
-        # a character of another script or a sign in no alphabet here is foreign, not wrong, unless a code page makes it of a letter
-        if not names:
-            return len(unit) == 1 and 0x80 <= ord(unit) <= 0x9F, None
-        # a letter of another script is wrong only in a word of Latin letters
-        if len(unit) == 1 and unit != names[0] and unit.isalpha() and 0x370 <= ord(unit) < 0x2000 and not (p.isalpha() or n.isalpha()):
-            return False, None
-        known = self.mapping.get(unit) or m.prior.get(unit) or {}
-        log = [np.log(max(known.get(x, 0.0), 1e-9)) + m.before[m.number[x], _PLACE[p]] + m.after[m.number[x], _PLACE[n]] for x in names if x in m.number]
-        if not log:
-            return False, None
-        if names[0] != unit:
-            return True, names[int(np.argmax(log))]
-        own = m.expected(m.number[unit], _PLACE[p], _PLACE[n])
-        log[1:] = [v if m.expected(m.number[x], _PLACE[p], _PLACE[n]) > own else -np.inf for v, x in zip(log[1:], names[1:])]
-        best = int(np.argmax(log))
-        return best > 0 and log[best] - log[0] > np.log(ODDS), names[best] if best else None
+            return True, []
+        m = self.shape
+        a, z = _PLACE[p], _PLACE[n]
+        own = m.number.get(unit)
+        usual = None if own is None else m.usual(np.array([own]), np.array([a]), np.array([z]))[0]
+        out = []
+        for x, swap in self.originals.get(unit, ()):
+            if x == unit:
+                continue
+            k = m.number[x]
+            if usual is not None and m.usual(np.array([k]), np.array([a]), np.array([z]))[0] <= usual:
+                continue
+            out.append((self.found.get(swap, self.corpus[swap]) * float(np.exp(m.often[k] + m.before[k, a] + m.after[k, z])), x, swap))
+        if own is None:
+            for x, phi in self.table.get(unit, {}).items():
+                k = m.number[x]
+                out.append((self.free * phi * float(np.exp(m.often[k] + m.before[k, a] + m.after[k, z])), x, -1))
+        right = self.right * float(np.exp(m.itself(unit, a, z)))
+        wrong = sum(w for w, _, _ in out)
+        if not out:
+            return len(unit) == 1 and 0x80 <= ord(unit) <= 0x9F, []
+        return wrong > right * (ODDS if own is not None else 1.0), out
 
     def read(self, text: str) -> tuple[int, int, str]:
-        """Wrong units, those without an original, and the text with the others replaced."""
+        """Wrong units, those without a sure original, and the text with the others replaced."""
+        met = [(at, u, p, n, *self.behind(p, u, n)) for p, u, n, at in occurrences(text, self.cutter)]
+        if not any(bad for *_, bad, _ in met):
+            return 0, 0, text
+        # the swaps of this document, by all its wrong units together
+        shares: dict[int, float] = {}
+        for _ in range(3):
+            now: dict[int, float] = {}
+            for _, _, _, _, bad, out in met:
+                if bad and out:
+                    weights = [w * (shares.get(s, 1e-4) if shares else 1.0) for w, _, s in out]
+                    total = sum(weights) or 1.0
+                    for (_, _, s), w in zip(out, weights):
+                        now[s] = now.get(s, 0.0) + w / total
+            total = sum(now.values()) or 1.0
+            shares = {s: v / total for s, v in now.items()}
         wrong, lost, edits = 0, 0, []
-        for p, unit, n, at in occurrences(text, self.model.cipher):
-            bad, x = self.judge(p, unit, n)
-            if bad:
-                wrong += 1
-                if x is None:
-                    lost += 1
-                else:
-                    edits.append((at, unit, x))
-        if not edits:
-            return wrong, lost, text
-        return wrong, lost, _apply(text, edits)
+        for at, unit, p, n, bad, out in met:
+            by: dict[str, float] = {}
+            for w, x, s in out:
+                by[x] = by.get(x, 0.0) + w * (shares.get(s, 1e-4) / max(self.found.get(s, self.corpus[s]) if s >= 0 else self.free, 1e-300))
+            total = sum(by.values())
+            if not bad and out and total:
+                # in a text with wrong units a character in use needs less to be one of them
+                m = self.shape
+                bad = total * 0.5 > ODDS * float(np.exp(m.itself(unit, _PLACE[p], _PLACE[n])))
+            if not bad:
+                continue
+            wrong += 1
+            x = max(sorted(by), key=by.get) if total else None
+            if x is None or by[x] < SURE * total:
+                lost += 1
+            else:
+                edits.append((at, unit, x))
+        return wrong, lost, _apply(text, edits) if edits else text
 
 
 def _apply(text: str, edits: list[tuple[int, str, str]]) -> str:
@@ -324,28 +504,42 @@ def _apply(text: str, edits: list[tuple[int, str, str]]) -> str:
     return "".join([*out, text[last:]])
 
 
-def find_garbled(documents: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+class _Shape:
+    """What readers need of a model: plain arrays."""
+
+    def __init__(self, model: Model) -> None:
+        for k in ("names", "number", "often", "before", "after", "raw", "total"):
+            setattr(self, k, getattr(model, k))
+
+    itself = Model.itself
+    usual = Model.usual
+
+
+def find_garbled(documents: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", pages: dict[str, str] | None = None) -> DataFrame:
     """The records with at least one wrong character: ``id``, ``n_wrong``, ``n_lost`` and ``restored``.
 
     ``n_wrong`` counts original characters that are wrong, ``n_lost`` those of them that can't
-    be restored (bytes replaced by U+FFFD, or no original known); ``restored`` is the text with
-    the others put right, null where nothing could be.  Defined cases: null and empty texts
-    are never garbled; a null source is a source of its own; repeated records each give a
-    row; missing accents, HTML entities, combining marks, redaction marks and letters of other
-    scripts are not wrong; texts are read whole; other columns aren't read.
+    be restored (bytes replaced by U+FFFD, or no original that is sure); ``restored`` is the text
+    with the others put right, null where nothing could be.  ``pages`` names the code pages
+    that swaps are made of (by default all of ``code_pages``); others are learnt as unknown.
+    Defined cases: null and empty texts are never garbled; a null source is a source of its
+    own; repeated records each give a row; missing accents, HTML entities, combining marks,
+    redaction marks and words of other scripts are not wrong; texts are read whole; other
+    columns aren't read.
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(id).alias("id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).alias("text"))
     # ASCII texts, and nothing else, have as many bytes as characters
     docs = docs.filter(F.octet_length("text") > F.length("text"))
-    cipher = Cipher()
+    cipher = Cipher(pages)
+    cutter = Cutter({u for u in cipher.originals if len(u) > 1}, set(cipher.clean), free=True)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str, str, str], int] = {}
         for batch in batches:
             for src, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 # a document counts once for what it has, so that one odd text doesn't outweigh the rest
-                for k in {(src, p, u, n) for p, u, n, _ in occurrences(x.as_py(), cipher)}:
+                for k in {(src, p, u, n) for p, u, n, _ in occurrences(x.as_py(), cutter) if len(u) == 1 or u in cutter.several or _LATIN[_PLACE[p]] or _LATIN[_PLACE[n]]}:
                     held[k] = held.get(k, 0) + 1
                 if len(held) > _HELD:
                     yield _counted(held)
@@ -353,29 +547,62 @@ def find_garbled(documents: DataFrame, *, id: str = "doc_id", text: str = "text"
         yield _counted(held)
 
     counted = docs.select("source", "text").mapInArrow(count, "source string, p string, unit string, n string, count long")
-    counts = counted.groupBy("source", "p", "unit", "n").agg(F.sum("count").alias("count")).toArrow().to_pandas()
-    if counts.empty:
-        return spark.createDataFrame([], f"`{id}` {documents.schema[id].dataType.simpleString()}, n_wrong long, n_lost long, restored string")
-    model = Model(cipher, counts.groupby(["p", "unit", "n"], as_index=False)["count"].sum())
-    mappings = {s: learn_source(g, model) for s, g in counts.groupby("source")}
-    learnt = spark.sparkContext.broadcast((model, mappings))
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, mappings = learnt.value
-        readers: dict[str, Reader] = {}
-        for batch in batches:
-            rows = []
-            for k, (src, x) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
-                reader = readers.get(src) or readers.setdefault(src, Reader(model, mappings.get(src, {})))
-                wrong, lost, fixed = reader.read(x.as_py())
-                if wrong:
-                    rows.append((k, wrong, lost, fixed if wrong > lost else None))
-            if rows:
-                at, wrong, lost, fixed = zip(*rows)
-                yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(wrong, pa.int64()), pa.array(lost, pa.int64()), pa.array(fixed, pa.string())], names=["id", "n_wrong", "n_lost", "restored"])
-
-    found = docs.mapInArrow(apply, f"id {documents.schema[id].dataType.simpleString()}, n_wrong long, n_lost long, restored string")
-    return found.withColumnRenamed("id", id)
+    counts = durable(counted.groupBy("source", "p", "unit", "n").agg(F.sum("count").alias("count")))
+    overall = counts.groupBy("p", "unit", "n").agg(F.sum("count").alias("count")).toArrow().to_pandas()
+    shape = f"id {documents.schema[id].dataType.simpleString()}, n_wrong long, n_lost long, restored string"
+    if overall.empty:
+        return spark.createDataFrame([], shape).withColumnRenamed("id", id)
+    model = Model(cipher, overall.sort_values(["p", "unit", "n"], ignore_index=True))
+    learning = spark.sparkContext.broadcast(packed(model))
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        found, free, table = learn_source(pdf.sort_values(["p", "unit", "n"], ignore_index=True), unpacked(learning.value))
+        rows = [(None, None, z, w) for z, w in found.items()] + [(None, None, -1, free)] + [(u, x, -1, w) for u, xs in table.items() for x, w in xs.items()]
+        out = pd.DataFrame(rows, columns=["unit", "original", "swap", "weight"])
+        out.insert(0, "source", pdf["source"].iloc[0])
+        return out
+
+    # a few rows per source
+    learnt = durable(counts.groupBy("source").applyInPandas(learn, "source string, unit string, original string, swap int, weight double"))
+    used = {r["swap"] for r in learnt.filter("swap >= 0").select("swap").distinct().collect()}
+    originals: dict[str, list[tuple[str, int]]] = {}
+    for u, xs in cipher.originals.items():
+        mine = [(x, z) for x, z in xs if z in used]
+        if mine:
+            originals[u] = mine
+    base = {"originals": originals, "clean": cipher.clean, "corpus": {z: float(model.share[z]) for z in used}, "shape": _Shape(model)}
+    parts = max(1, -(-learnt.select("source").distinct().count() // MOST_SOURCES))
+    results = []
+    for part in range(parts):
+        mine = F.pmod(F.xxhash64("source"), F.lit(parts)) == part
+        sources: dict[str, tuple[dict, float, dict]] = {}
+        for r in learnt.filter(mine).collect():
+            found, free, table = sources.get(r["source"], ({}, 0.0, {}))
+            if r["unit"] is not None:
+                table.setdefault(r["unit"], {})[r["original"]] = r["weight"]
+            elif r["swap"] >= 0:
+                found[r["swap"]] = r["weight"]
+            else:
+                free = r["weight"]
+            sources[r["source"]] = (found, free, table)
+        sent = spark.sparkContext.broadcast(packed((base, sources)))
+
+        def apply(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            base, sources = unpacked(sent.value)
+            readers: dict[str, Reader] = {}
+            for batch in batches:
+                rows = []
+                for k, (src, x) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2))):
+                    reader = readers.get(src) or readers.setdefault(src, Reader(base, *sources.get(src, ({}, 0.0, {}))))
+                    wrong, lost, fixed = reader.read(x.as_py())
+                    if wrong:
+                        rows.append((k, wrong, lost, fixed if wrong > lost else None))
+                if rows:
+                    at, wrong, lost, fixed = zip(*rows)
+                    yield pa.record_batch([batch.column(0).take(pa.array(at)), pa.array(wrong, pa.int64()), pa.array(lost, pa.int64()), pa.array(fixed, pa.string())], names=["id", "n_wrong", "n_lost", "restored"])
+
+        results.append((docs.filter(mine) if parts > 1 else docs).mapInArrow(apply, shape))
+    return reduce(DataFrame.unionByName, results).withColumnRenamed("id", id)
 
 
 def _counted(held: dict[tuple[str, str, str, str], int]) -> pa.RecordBatch:

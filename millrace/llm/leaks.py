@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.words import word_numbers
+from millrace.plans import packed, unpacked
 
 #: Most words of the items whose index is sent to the executors at once; more items take several scans.
 MOST_ITEM_WORDS = 2_000_000
@@ -402,23 +403,25 @@ def find_leaks(
     docs = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.length("text") > 0)
     results = []
     for block in _blocks(texts):
-        counter = spark.sparkContext.broadcast(StockCounter([texts[k] for k in block]))
+        stock_counter = StockCounter([texts[k] for k in block])
+        counter = spark.sparkContext.broadcast(packed(stock_counter))
 
         def count(batches: Iterator[pa.RecordBatch], counter=counter) -> Iterator[pa.RecordBatch]:
+            runs = unpacked(counter.value)
             for batch in batches:
                 for _, part in slices(batch.column(0)):
-                    run, where = counter.value.count(part)
+                    run, where = runs.count(part)
                     yield pa.record_batch([pa.array(run), pa.array(where)], names=["run", "around"])
 
         # one number per run of words of the items, whatever the corpus
         around = docs.select("text").mapInArrow(count, "run long, around long").distinct()
         counts = around.groupBy("run").agg(F.count("around").alias("n")).toArrow()
         found = dict(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist()))
-        stock = counter.value.stock(found, found.get(-1, 0))
-        index = spark.sparkContext.broadcast(ItemIndex([ids[k] for k in block], [texts[k] for k in block], stock=stock))
+        stock = stock_counter.stock(found, found.get(-1, 0))
+        index = spark.sparkContext.broadcast(packed(ItemIndex([ids[k] for k in block], [texts[k] for k in block], stock=stock)))
 
         def match(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            items = index.value
+            items = unpacked(index.value)
             for batch in batches:
                 rows = []
                 for start, part in slices(batch.column(1)):

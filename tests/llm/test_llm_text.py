@@ -1,6 +1,11 @@
 """Leaks, mixtures and wrong encodings."""
 
+import difflib
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -8,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm.catalogue import QUERIES
-from millrace.llm.encoding import Cipher, decode, find_garbled
+from millrace.llm.encoding import Cipher, Cutter, code_pages, decode, find_garbled
 from millrace.llm.leaks import find_leaks
 from millrace.llm.mixture import mix_sources, sainte_lague
 from millrace.llm.words import word_numbers
@@ -221,8 +226,102 @@ def test_garbled_of_an_empty_table(spark):
 
 def test_units():
     c = Cipher()
-    assert c.units("Ã©") == ["Ã©"] and c.units("çã") == ["ç", "ã"] and c.units("â€™Ã©") == ["â€™", "Ã©"]
-    assert c.candidates("é")[0] == "é"
+    cut = Cutter({u for u in c.originals if len(u) > 1 and any(c.swaps[z][1] == "cp1252" for _, z in c.originals[u])}, set(c.clean), False)
+    assert cut.units("Ã©") == ["Ã©"] and cut.units("çã") == ["ç", "ã"] and cut.units("â€™Ã©") == ["â€™", "Ã©"]
+    pages = code_pages()
+    assert len(pages) > 40 and {"cp1252", "koi8_r", "mac_roman"} <= set(pages) and not {"utf_8", "cp037", "gbk"} & set(pages)
+
+
+def _variant(rng, lang):
+    words = CLEAN[lang].split(" ") * 3
+    rng.shuffle(words)
+    return " ".join(words)
+
+
+def _right(got, truth):
+    """Share of the characters outside ASCII that are right in the restored texts."""
+    right = total = 0
+    for d, text in truth.items():
+        total += sum(ord(c) > 127 for c in text)
+        for m in difflib.SequenceMatcher(None, text, got[d]["restored"] or "", autojunk=False).get_matching_blocks():
+            right += sum(ord(c) > 127 for c in text[m.a : m.a + m.size])
+    return right / total
+
+
+SENTENCE = "L’été dernier, Élodie a reçu où elle était une forêt à côté du théâtre ; voilà le procès-verbal du siège."
+
+
+@pytest.mark.parametrize(
+    "true, wrong", [("utf-8", "koi8-r"), ("utf-8", "cp866"), ("utf-8", "iso8859-7"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("cp1252", "iso8859-7"), ("cp1252", "cp1253")]
+)
+def test_swaps_that_are_singled_out_nowhere(spark, true, wrong):
+    rng = random.Random(8)
+    rows = [(k, "abc"[k % 3], _variant(rng, rng.choice(list(CLEAN)))) for k in range(300)]
+    truth = {1000 + k: SENTENCE for k in range(40)}
+    rows += [(d, "a", decode(t.encode(true), wrong)) for d, t in truth.items()]
+    got = {r["doc_id"]: r for r in find_garbled(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()}
+    assert set(got) == set(truth)
+    assert _right(got, truth) >= 0.9
+
+
+@pytest.mark.parametrize("pages", [None, {}])
+@pytest.mark.parametrize("kind", ["bytes", "letters"])
+def test_an_unknown_page_is_learnt(spark, pages, kind):
+    """A page that nobody knows: bytes of UTF-8, or the letters themselves, become characters of another script in random order."""
+    rng = random.Random(9)
+    # in these few sentences such characters stand in one place only, where others would do as well
+    plain = str.maketrans("Éà’", "Eax", "«»„“")
+    script = [chr(c) for c in range(0x1200, 0x1300) if chr(c).isalpha()]
+    rng.shuffle(script)
+    page = {chr(c): script[c - 128] for c in range(128, 256)} if kind == "bytes" else dict(zip("éèçêôâîûäöüß", script))
+    rows = [(k, "abc"[k % 3], _variant(rng, rng.choice(list(CLEAN)))) for k in range(600)]
+    truth = {1000 + k: _variant(rng, rng.choice(["fr", "de"])).translate(plain) for k in range(150)}
+    for d, t in truth.items():
+        rows.append((d, "a", "".join(page.get(c, c) for c in (t.encode().decode("latin-1") if kind == "bytes" else t))))
+    got = {r["doc_id"]: r for r in find_garbled(spark.createDataFrame(rows, "doc_id long, source string, text string"), pages=pages).collect()}
+    assert set(got) == set(truth)
+    assert _right(got, truth) >= 0.9
+
+
+def test_what_is_learnt_decides(spark):
+    """Without the share that a swap is learnt to have, a lone sign is a sign."""
+    rng = random.Random(10)
+    rows = [(k, "a", _variant(rng, rng.choice(list(CLEAN))) + f"Processo n.º {k}") for k in range(300)]
+    rows += [(1000 + k, "a", decode(_variant(rng, "es").encode("cp1252"), "cp850")) for k in range(40)]
+    # º read as cp850, alone: wrong where the corpus has that swap, a sign of its own where it hasn't
+    rows.append((2000, "a", "Processo n.║ 12"))
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    with_swap = {r["doc_id"] for r in find_garbled(docs).collect()}
+    without = {r["doc_id"] for r in find_garbled(docs.filter("doc_id < 1000 or doc_id = 2000")).collect()}
+    assert with_swap == {*range(1000, 1040), 2000} and without == set()
+
+
+def test_executors_need_no_package(tmp_path):
+    """Workers without any path to the package run the text operators."""
+    root = Path(__file__).resolve().parents[2]
+    script = f"""
+import importlib.util, os, sys
+for name in list(os.environ):
+    if name == "PYTHONPATH":
+        del os.environ[name]
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").config("spark.driver.memory", "2g").getOrCreate()
+sys.path.insert(0, {str(root)!r})
+from millrace.llm.encoding import find_garbled
+from millrace.llm.leaks import find_leaks
+def there(x):
+    import importlib.util
+    return importlib.util.find_spec("millrace") is not None
+assert not s.sparkContext.parallelize([1], 1).map(there).first()
+item = " ".join(f"wort{{k}}laut{{k * 7}}" for k in range(60))
+docs = s.createDataFrame([(1, "a", "x " + item + " y"), (2, "a", "Le procÃ¨s Ã  Paris"), (3, "a", "Le procès à Paris")], "doc_id long, source string, text string")
+assert {{r["doc_id"] for r in find_leaks(docs, s.createDataFrame([(7, item)], "item_id long, text string")).collect()}} == {{1}}
+assert {{r["doc_id"] for r in find_garbled(docs).collect()}} == {{2}}
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "done" in run.stdout, run.stderr[-3000:]
 
 
 @pytest.mark.parametrize("name", ["p6_passages", "p7_shares", "p8_restored"])
