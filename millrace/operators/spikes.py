@@ -6,8 +6,9 @@ the scale of its hour of day (seasonal residual).  Above the 90th percentile of
 residuals follow a generalized Pareto law, which is fitted by maximum likelihood; what lies
 beyond the 97th percentile enters as "larger than that", so spikes in the tail cannot
 pull the fit.  A fixed risk gives the tail cutoff, and a reading beyond it is a spike.  Every
-source is fitted by itself, with what all sources of its kind have in common as a prior: a
-fixed weight of their residuals and a normal law around the shape of their tail.  The prior
+source is fitted by itself, with what all sources of its kind have in common as a prior (each
+of them with the same say): a fixed weight of their residuals and a normal law around the
+shape of their tail.  The prior
 decides where a source has few readings and fades where it has many.  Rules are added for
 stuck readings; impossible ones are plain predicates.
 
@@ -39,9 +40,9 @@ LEVEL = 5
 _BULK, _SEEN = 0.9, 0.97
 #: Weight, in residuals, of all sources of a kind in the fit of one of them.
 POOL_WEIGHT = 400.0
-#: Standard deviation of the sources' shapes around that of their kind, and bounds of a shape (a mean and a variance exist).
+#: Standard deviation of the sources' shapes around that of their kind, and bounds of a shape (a third moment exists).
 SHAPE_SPREAD = 0.1
-_SHAPE = 0.5
+_LEAST_SHAPE, _MOST_SHAPE = -0.5, 1 / 3
 _BLOCK = 100_000
 _MICROS_PER_HOUR = 3_600_000_000
 #: Sources whose few statistics are sent to every executor; beyond, they are joined.
@@ -174,7 +175,7 @@ def fit_tail(level: np.ndarray, weight: np.ndarray, prior: float | None = None)
     m = w.sum()
     mean = (w @ y) / m
     theta = np.concatenate([-np.geomspace(0.95, 1e-3, 64) / c, np.geomspace(1e-3, 30, 64) / mean])
-    shape = np.concatenate([-np.geomspace(_SHAPE, 1e-3, 48), np.geomspace(1e-3, _SHAPE, 48)])
+    shape = np.concatenate([-np.geomspace(-_LEAST_SHAPE, 1e-3, 48), np.geomspace(1e-3, _MOST_SHAPE, 48)])
     for finer in (False, True):
         logs = (np.log1p(theta[:, None] * y[None, :]) @ w)[:, None]
         far = np.log1p(theta * c)[:, None]
@@ -191,7 +192,7 @@ def fit_tail(level: np.ndarray, weight: np.ndarray, prior: float | None = None)
             spread = float(np.sqrt(share_of @ (shape - share_of @ shape) ** 2))
             theta = there * np.geomspace(0.85, 1.18, 64)
             theta = theta[theta * c > -1]
-            shape = np.sign(xi) * np.clip(abs(xi) * np.geomspace(0.85, 1.18, 48), 1e-4, _SHAPE)
+            shape = np.clip(xi * np.geomspace(0.85, 1.18, 48), _LEAST_SHAPE, _MOST_SHAPE)
     return float(u), float(share), xi / there, xi, max(spread, (1 + xi) / float(np.sqrt(n)))
 
 
@@ -226,8 +227,9 @@ def _limits(counts: DataFrame, source: list[str], kind: str | None, risk: float,
     """
     pool = [kind, "f"] if kind else ["f"]
     scaled = F.col("pos") - F.round(F.log("usual") / _STEP).cast("long") if season_of is _residual_season else F.col("pos")
-    # rows: kinds x fields x steps of the grid
-    pooled = counts.groupBy(*pool, scaled.alias("pos")).agg(F.sum("w").alias("w")).toPandas()
+    # every source has the same say, or a hot one would be the rule for all; rows: kinds x fields x steps of the grid
+    share = F.col("w") / F.sum("w").over(Window.partitionBy(*source))
+    pooled = counts.select(*pool, scaled.alias("pos"), share.alias("w")).groupBy(*pool, "pos").agg(F.sum("w").alias("w")).toPandas()
     prior = {}
     for key, g in pooled.groupby(pool, sort=False):
         level, weight = np.exp(g["pos"].to_numpy() * _STEP), g["w"].to_numpy(dtype="float64")
