@@ -191,6 +191,15 @@ def occurrences(text: str, cutter: Cutter) -> Iterator[tuple[str, str, str, int]
             a += len(u)
 
 
+def places(text: str) -> list[tuple[str, str, str]]:
+    """The runs of characters outside ASCII with the characters on both sides (empty at the ends), repeats included."""
+    out = []
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        out.append((text[a - 1 : a], text[a:b], text[b : b + 1]))
+    return out
+
+
 def _class(c: str) -> str:
     if c.isalpha() and c not in "ªº":
         return "upper" if c.isupper() else "lower"
@@ -420,6 +429,8 @@ class Reader:
         several = {u for u in self.originals if len(u) > 1} | {u for u in table if len(u) > 1}
         self.cutter = Cutter(several, set(self.clean), False)
         self.memo: dict[tuple[str, str, str], tuple[bool, list]] = {}
+        self.runs: dict[tuple[str, str, str], bool] = {}
+        self.known: dict[str, tuple] = {}
 
     def behind(self, p: str, unit: str, n: str) -> tuple[bool, list[tuple[float, str, int]]]:
         """Whether the unit is wrong, and the (weight, original, swap) behind it; swap -1 is the unknown one."""
@@ -434,30 +445,46 @@ class Reader:
         m = self.shape
         a, z = _PLACE[p], _PLACE[n]
         own = m.number.get(unit)
-        usual = None if own is None else m.usual(np.array([own]), np.array([a]), np.array([z]))[0]
+        xs, swaps, rates = self.candidates(unit, own)
         out = []
-        for x, swap in self.originals.get(unit, ()):
-            if x == unit:
-                continue
-            k = m.number[x]
-            if usual is not None and m.usual(np.array([k]), np.array([a]), np.array([z]))[0] <= usual:
-                continue
-            out.append((self.found.get(swap, self.corpus[swap]) * float(np.exp(m.often[k] + m.before[k, a] + m.after[k, z])), x, swap))
-        if own is None:
-            for x, phi in self.table.get(unit, {}).items():
-                k = m.number[x]
-                out.append((self.free * phi * float(np.exp(m.often[k] + m.before[k, a] + m.after[k, z])), x, -1))
+        if len(xs):
+            w = rates * np.exp(m.often[xs] + m.before[xs, a] + m.after[xs, z])
+            if own is not None:
+                usual = m.raw[0][xs, a] * m.raw[1][xs, z] / np.maximum(m.total[xs], 1.0)
+                w[usual <= m.raw[0][own, a] * m.raw[1][own, z] / max(m.total[own], 1.0)] = 0.0
+            out = [(v, m.names[x], s) for v, x, s in zip(w.tolist(), xs.tolist(), swaps) if v]
         right = self.right * float(np.exp(m.itself(unit, a, z)))
         wrong = sum(w for w, _, _ in out)
         if not out:
             return len(unit) == 1 and 0x80 <= ord(unit) <= 0x9F, []
         return wrong > right * (ODDS if own is not None else 1.0), out
 
+    def candidates(self, unit: str, own: int | None) -> tuple[np.ndarray, list[int], np.ndarray]:
+        """Originals that a unit may stand for, the swaps and their rates, whatever its neighbours."""
+        got = self.known.get(unit)
+        if got is None:
+            number = self.shape.number
+            mine = [(number[x], s, self.found.get(s, self.corpus[s])) for x, s in self.originals.get(unit, ()) if x != unit]
+            if own is None:
+                mine += [(number[x], -1, self.free * phi) for x, phi in self.table.get(unit, {}).items()]
+            xs, swaps, rates = zip(*mine) if mine else ((), (), ())
+            got = self.known[unit] = (np.array(xs, dtype=np.int64), list(swaps), np.array(rates))
+        return got
+
+    def suspect(self, place: tuple[str, str, str]) -> bool:
+        """Whether a run between its neighbours has a wrong unit."""
+        got = self.runs.get(place)
+        if got is None:
+            got = any(self.behind(p, u, n)[0] for p, u, n, _ in occurrences("".join(place), self.cutter))
+            if len(self.runs) < _HELD:
+                self.runs[place] = got
+        return got
+
     def read(self, text: str) -> tuple[int, int, str]:
         """Wrong units, those without a sure original, and the text with the others replaced."""
-        met = [(at, u, p, n, *self.behind(p, u, n)) for p, u, n, at in occurrences(text, self.cutter)]
-        if not any(bad for *_, bad, _ in met):
+        if not any(map(self.suspect, set(places(text)))):
             return 0, 0, text
+        met = [(at, u, p, n, *self.behind(p, u, n)) for p, u, n, at in occurrences(text, self.cutter)]
         # the swaps of this document, by all its wrong units together
         shares: dict[int, float] = {}
         for _ in range(3):
@@ -512,7 +539,6 @@ class _Shape:
             setattr(self, k, getattr(model, k))
 
     itself = Model.itself
-    usual = Model.usual
 
 
 def find_garbled(documents: DataFrame, *, id: str = "doc_id", text: str = "text", source: str = "source", pages: dict[str, str] | None = None) -> DataFrame:
@@ -536,11 +562,20 @@ def find_garbled(documents: DataFrame, *, id: str = "doc_id", text: str = "text"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str, str, str], int] = {}
+        known: dict[tuple[str, str, str], list[tuple[str, str, str]]] = {}
         for batch in batches:
             for src, x in zip(batch.column(0).to_pylist(), batch.column(1)):
                 # a document counts once for what it has, so that one odd text doesn't outweigh the rest
-                for k in {(src, p, u, n) for p, u, n, _ in occurrences(x.as_py(), cutter) if len(u) == 1 or u in cutter.several or _LATIN[_PLACE[p]] or _LATIN[_PLACE[n]]}:
-                    held[k] = held.get(k, 0) + 1
+                mine = set()
+                for place in set(places(x.as_py())):
+                    got = known.get(place)
+                    if got is None:
+                        got = [(p, u, n) for p, u, n, _ in occurrences("".join(place), cutter) if len(u) == 1 or u in cutter.several or _LATIN[_PLACE[p]] or _LATIN[_PLACE[n]]]
+                        if len(known) < _HELD:
+                            known[place] = got
+                    mine.update(got)
+                for p, u, n in mine:
+                    held[src, p, u, n] = held.get((src, p, u, n), 0) + 1
                 if len(held) > _HELD:
                     yield _counted(held)
                     held = {}
