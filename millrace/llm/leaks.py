@@ -25,7 +25,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.words import word_numbers
+from millrace.llm.words import NO_BLANKS, word_numbers
 from millrace.plans import packed, unpacked
 
 #: Most words of the items whose index is sent to the executors at once; more items take several scans.
@@ -193,7 +193,11 @@ class ItemIndex:
             space = (raw == 32) | (raw == 10) | (raw == 13) | (raw == 9)
             new = ~space
             new[1:] &= space[:-1]
-            out[mine] = np.cumsum(new)[at[mine]] - 1
+            token = np.cumsum(new)[at[mine]] - 1
+            # characters of scripts without blanks are words of their own
+            more = np.zeros(len(mine), dtype=np.int64)
+            more[1:] = NO_BLANKS[raw[at[mine][1:]]] & (token[1:] == token[:-1])
+            out[mine] = token + np.cumsum(more)
         return out
 
     def _first_words(self, padded: np.ndarray) -> np.ndarray:
@@ -304,17 +308,37 @@ class ItemIndex:
             total += best
         return total
 
+    def _matches(self, lo: int, hi: int, words: np.ndarray, diagonals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places (in the item, in ``words``) of equal words within a header of one of the diagonals, in order.
+
+        The words are taken in bands, so what is held at once doesn't grow with the document.
+        """
+        order = np.argsort(self.words[lo:hi], kind="stable")
+        known = self.words[lo:hi][order]
+        found = []
+        for start in range(0, len(words), _BAND):
+            band = words[start : start + _BAND]
+            first, last = np.searchsorted(known, band), np.searchsorted(known, band, side="right")
+            n = last - first
+            j = np.repeat(np.arange(len(band)), n)
+            i = order[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            d = start + j - i
+            at = np.searchsorted(diagonals, d)
+            apart = np.minimum(np.abs(d - diagonals[np.minimum(at, len(diagonals) - 1)]), np.abs(d - diagonals[np.maximum(at - 1, 0)]))
+            near = apart <= _HEADER + _SHIFT
+            found.append((i[near], start + j[near]))
+        i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, dtype=np.int64),) * 2
+        order = np.lexsort((j, i))
+        return i[order], j[order]
+
     def _align(self, words: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, least: int, rate: float) -> tuple[int, int, int] | None:
         """The longest stretch of the item that an alignment of the two word sequences covers within the error rate."""
         item = self.item[q[0]]
         lo, hi = np.searchsorted(self.item, item), np.searchsorted(self.item, item, side="right")
         d0, d1 = np.searchsorted(doc, doc[p[0]]), np.searchsorted(doc, doc[p[0]], side="right")
         d0, d1 = max(d0, p.min() - (q.max() - lo) - _HEADER * 4), min(d1, p.max() + (hi - q.min()) + _HEADER * 4)
-        i, j = np.nonzero(self.words[lo:hi, None] == words[None, d0:d1])
         # only near a diagonal that has a hit
-        diagonals = np.unique((p - d0) - (q - lo))
-        near = np.abs((j - i)[:, None] - diagonals[None, :]).min(axis=1) <= _HEADER + _SHIFT
-        i, j = i[near], j[near]
+        i, j = self._matches(lo, hi, words[d0:d1], np.unique((p - d0) - (q - lo)))
         rank = self.rank[lo:hi]
         first, last = np.append(0, rank[:-1] + 1), np.append(rank[1:] - 1, rank[-1])
         n = len(i)
@@ -357,6 +381,8 @@ class ItemIndex:
         return best and (int(at[best[2]]), -best[1], int(errors[best[3]] - errors[best[2]]))
 
 
+#: Words of a document that are matched with an item at once.
+_BAND = 20_000
 #: Bytes of text that are worked on at once.
 _SLICE = 4_000_000
 
@@ -398,12 +424,12 @@ def find_leaks(
     stretch may hold them but must have two fifths of ``least`` besides.
     """
     spark = documents.sparkSession
-    listed = items.select(F.col(item_id).cast("long"), F.col(item_text)).filter(F.col(item_text).isNotNull()).toArrow()
-    ids, texts = listed.column(0).to_pylist(), listed.column(1).to_pylist()
+    # a block of items at a time is on the driver
+    listed = items.select(F.col(item_id).cast("long"), F.col(item_text)).filter(F.col(item_text).isNotNull()).toLocalIterator()
     docs = documents.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.length("text") > 0)
     results = []
-    for block in _blocks(texts):
-        stock_counter = StockCounter([texts[k] for k in block])
+    for ids, texts in _blocks(listed):
+        stock_counter = StockCounter(texts)
         counter = spark.sparkContext.broadcast(packed(stock_counter))
 
         def count(batches: Iterator[pa.RecordBatch], counter=counter) -> Iterator[pa.RecordBatch]:
@@ -418,7 +444,7 @@ def find_leaks(
         counts = around.groupBy("run").agg(F.count("around").alias("n")).toArrow()
         found = dict(zip(counts.column(0).to_pylist(), counts.column(1).to_pylist()))
         stock = stock_counter.stock(found, found.get(-1, 0))
-        index = spark.sparkContext.broadcast(packed(ItemIndex([ids[k] for k in block], [texts[k] for k in block], stock=stock)))
+        index = spark.sparkContext.broadcast(packed(ItemIndex(ids, texts, stock=stock)))
 
         def match(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             items = unpacked(index.value)
@@ -441,14 +467,16 @@ def find_leaks(
     return out
 
 
-def _blocks(texts: list[str]) -> list[list[int]]:
+def _blocks(listed: Iterator[tuple[int, str]]) -> Iterator[tuple[list[int], list[str]]]:
     """Items in blocks of bounded size, so that the index of each fits an executor."""
-    out, size = [], 0
-    for k, text in enumerate(texts):
+    ids, texts, size = [], [], 0
+    for i, text in listed:
         n = len(text.split())
-        if not out or size + n > MOST_ITEM_WORDS:
-            out.append([])
-            size = 0
-        out[-1].append(k)
+        if ids and size + n > MOST_ITEM_WORDS:
+            yield ids, texts
+            ids, texts, size = [], [], 0
+        ids.append(i)
+        texts.append(text)
         size += n
-    return out
+    if ids:
+        yield ids, texts

@@ -65,6 +65,7 @@ def mix_sources(
     source: str = "source",
     seed: int = 17,
     blocks: int = 100_000,
+    shard_blocks: int = 1_000,
     total_tokens: int | None = None,
     shard_tokens: int = 20_000_000,
     vocabulary: str = DEFAULT_VOCABULARY,
@@ -73,7 +74,8 @@ def mix_sources(
 
     The mixture has ``source``, ``id``, ``tokens`` and ``copies``, how often the record is
     used.  Without ``total_tokens`` the mixture is as large as the repeats allow with every
-    target met.  The report has one row per target: ``source``, ``target_share``,
+    target met.  A block is one of ``blocks`` of the mixture or one of ``shard_blocks`` of a
+    shard of ``shard_tokens``, whichever is smaller.  The report has one row per target: ``source``, ``target_share``,
     ``actual_share``, ``records``, ``tokens``, ``available_tokens``, ``most_copies``.
     Defined cases: records without source, target or tokens aren't used; a null id is an id;
     records that repeat an id are records of their own; a source without tokens is reported
@@ -94,34 +96,38 @@ def mix_sources(
     most = plan["available"] * plan["max_repeats"]
     if total_tokens is None:
         total_tokens = int((most[live] / plan["share"][live]).min()) if live.any() else 0
-    blocks = min(blocks, total_tokens)
-    block = max(1.0, total_tokens / max(1, blocks))
-    plan["capacity"] = np.floor(most / block).astype("int64").where(live, 0)
-    plan["quota"] = sainte_lague(plan["share"].tolist(), blocks, plan["capacity"].tolist())
+    block = max(1.0, min(total_tokens / max(1, blocks), shard_tokens / max(1, shard_blocks)))
+    # the last block of a source may be a short one
+    plan["capacity"] = np.ceil(most / block).astype("int64").where(live, 0)
+    quota = sainte_lague(plan["share"].tolist(), int(round(total_tokens / block)), plan["capacity"].tolist())
+    plan["quota"] = np.minimum(np.array(quota, dtype="float64") * block, most.to_numpy(dtype="float64")) if len(plan) else []
     plan["shards"] = np.ceil(plan["available"] / shard_tokens).clip(lower=1).astype("int64")
     # one row per source of the targets
-    quotas = F.broadcast(spark.createDataFrame(plan[["source", "quota", "shards", "max_repeats"]], "source string, quota long, shards long, max_repeats long"))
+    quotas = F.broadcast(spark.createDataFrame(plan[["source", "quota", "shards", "max_repeats"]], "source string, quota double, shards long, max_repeats long"))
     h = F.xxhash64(F.lit(seed), F.col("source"), F.col("id"), F.col("tokens"))
     placed = sized.join(quotas, "source").withColumn("h", h).withColumn("shard", F.pmod(F.col("h"), F.col("shards")))
     shards = placed.groupBy("source", "shard").agg(F.sum("tokens").alias("held"), F.first("quota").alias("quota"), F.first("max_repeats").alias("max_repeats"))
 
     def apportion(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Blocks to the shards of one source; a shard's axis is cut into a whole number of blocks."""
-        n = np.maximum(1, np.round(pdf["held"] / block)).astype("int64")
-        quota = int(min(pdf["quota"].iloc[0], (n * pdf["max_repeats"]).sum()))
-        pdf = pdf.assign(n=n, blocks=sainte_lague(pdf["held"].tolist(), quota, (n * pdf["max_repeats"]).tolist()))
-        return pdf[["source", "shard", "held", "n", "blocks"]]
-
-    given = shards.groupBy("source").applyInPandas(apportion, "source string, shard long, held long, n long, blocks long")
+        """The quota of one source, in tokens, to its shards: whole blocks, then what short blocks left over."""
+        most = (pdf["held"] * pdf["max_repeats"]).to_numpy(dtype="float64")
+        quota = min(float(pdf["quota"].iloc[0]), most.sum())
+        given = np.array(sainte_lague(pdf["held"].tolist(), int(quota // block), np.ceil(most / block).astype("int64").tolist()), dtype="float64")
+        tokens = np.minimum(given * block, most)
+        room = most - tokens
+        before = np.cumsum(room) - room
+        tokens += np.clip(quota - tokens.sum() - before, 0.0, room)
+        return pdf.assign(asked=tokens)[["source", "shard", "held", "asked"]]
+
+    given = shards.groupBy("source").applyInPandas(apportion, "source string, shard long, held long, asked double")
     in_shard = Window.partitionBy("source", "shard").orderBy("h", "id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
     on_axis = placed.select("source", "shard", "id", "tokens", "h").join(given, ["source", "shard"])
     middle = F.sum("tokens").over(in_shard) - F.col("tokens") / 2
-    on_axis = on_axis.withColumn("block", F.least(F.floor(middle * F.col("n") / F.col("held")), F.col("n") - 1))
-    # The rest of the quota: blocks in an order that visits each once, from a seeded start with a seeded step.
-    rest = F.col("blocks") % F.col("n")
-    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "source", "shard"), F.col("n"))
-    chosen = F.pmod(F.col("block") + start, F.col("n")) < rest
-    mixed = on_axis.withColumn("copies", F.floor(F.col("blocks") / F.col("n")) + F.when(chosen, 1).otherwise(0)).filter("copies > 0")
+    passes = F.floor(F.col("asked") / F.col("held"))
+    # The rest of the quota: the blocks from a seeded one on, around the axis; the last of them may be a part of one.
+    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "source", "shard"), F.ceil(F.col("held") / block)) * block
+    chosen = F.pmod(middle - start, F.col("held").cast("double")) < F.col("asked") - passes * F.col("held")
+    mixed = on_axis.withColumn("copies", passes + F.when(chosen, 1).otherwise(0)).filter("copies > 0")
     mixed = mixed.select("source", F.col("id").alias(id), "tokens", F.col("copies").cast("int").alias("copies"))
     totals = mixed.groupBy("source").agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
     asked = F.broadcast(spark.createDataFrame(plan[["source", "target_share", "available"]], "source string, target_share double, available_tokens long"))

@@ -6,12 +6,17 @@ number with or without accents, in decomposed form, as an HTML entity, in any wr
 encoding, and with the letters that scans confuse (``c`` for ``e``, ``1`` for ``l``,
 ``0`` for ``o``).  A hyphen at a line's end joins its halves.  Words whose skeleton is
 empty have no number.
+
+Words of other scripts (four letters or more, none of them ASCII, which wrong encodings of
+Latin text don't make) have the number of their letters in lower case; of scripts without
+blanks every character is a word.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 _SEPARATOR, _DROP = 0, 255
 
@@ -50,9 +55,16 @@ def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return empty.astype(np.uint32), empty, empty
     raw = np.frombuffer(buffers[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = (offsets - offsets[0]).astype(np.int64)
+    foreign = _OTHER_SCRIPT[raw]
+    if foreign.any():
+        upper = np.flatnonzero(np.add.reduceat(np.append(foreign, False), np.minimum(offsets[:-1], len(raw))) >= 3)
+        lower = _lower(texts, upper)
+        if lower is not texts:
+            return word_numbers(lower)
     kind = _LUT[raw]
     _join_lines(raw, kind)
     _drop_entities(raw, kind)
+    apart = _other_scripts(raw, kind, foreign) if foreign.any() else None
     at = np.flatnonzero((kind != _SEPARATOR) & (kind != _DROP))
     if not len(at):
         return empty.astype(np.uint32), empty, empty
@@ -61,6 +73,8 @@ def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     new[1:] = seen[1:] != seen[:-1]
     firsts = np.searchsorted(at, offsets[:-1])
     new[firsts[firsts < len(at)]] = True
+    if apart is not None:
+        new[1:] |= (apart[at[1:]] != apart[at[:-1]])
     starts = np.flatnonzero(new)
     place = np.arange(len(at)) - np.repeat(starts, np.diff(np.append(starts, len(at))))
     h = np.add.reduceat(kind[at].astype(np.uint64) * _POWERS[place & 63], starts)
@@ -70,6 +84,47 @@ def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (h >> np.uint64(32)).astype(np.uint32), text, at[starts] - offsets[text]
 
 
+#: First bytes of letters of other scripts in UTF-8: of alphabets (Greek, Cyrillic and on), and of scripts without blanks.
+_OTHER_SCRIPT = np.zeros(256, dtype=bool)
+_OTHER_SCRIPT[[*range(0xCE, 0xE2), *range(0xE3, 0xEE)]] = True
+NO_BLANKS = np.zeros(256, dtype=bool)
+NO_BLANKS[0xE3:0xEA] = True
+
+
+def _lower(texts: pa.Array, which: np.ndarray) -> pa.Array:
+    """The texts, those of ``which`` in lower case if that changes them and keeps their length."""
+    mine = texts.take(pa.array(which))
+    low = pa.compute.utf8_lower(mine)
+    same = pa.compute.equal(pa.compute.binary_length(low), pa.compute.binary_length(mine))
+    low = pa.compute.if_else(same, low, mine)
+    if not len(which) or low.equals(mine):
+        return texts
+    mask = np.zeros(len(texts), dtype=bool)
+    mask[which] = True
+    return pa.compute.replace_with_mask(texts, pa.array(mask), low)
+
+
+def _other_scripts(raw: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Gives the letters of other scripts their kinds; the result tells apart the characters that are words of their own."""
+    after = (raw & 0xC0) == 0x80
+    character = np.cumsum(~after)
+    letter = np.zeros(len(raw), dtype=bool)
+    at = np.flatnonzero(first)
+    letter[at] = True
+    for k in (1, 2):
+        inside = at[(at + k < len(raw))]
+        inside = inside[after[inside + k] & (character[inside + k] == character[inside])]
+        letter[inside + k] = True
+    single = letter & NO_BLANKS[raw[np.maximum.accumulate(np.where(~after, np.arange(len(raw)), 0))]]
+    word = np.cumsum(kind == _SEPARATOR)
+    lower = raw | 32
+    ascii_of = np.bincount(word, ((lower >= ord("a")) & (lower <= ord("z")) | (raw >= ord("0")) & (raw <= ord("9"))) & (raw < 128), word[-1] + 1)
+    letters_of = np.bincount(word, first & ~single, word[-1] + 1)
+    take = single | letter & ((ascii_of == 0) & (letters_of >= 4))[word]
+    kind[take] = 64 + (raw[take] & 127)
+    return np.where(single, character, -1)
+
+
 def _join_lines(raw: np.ndarray, kind: np.ndarray) -> None:
     hyphen = np.flatnonzero(raw[:-1] == ord("-")) if len(raw) > 1 else np.empty(0, dtype=np.int64)
     for gap in (1, 2):  # with or without a carriage return

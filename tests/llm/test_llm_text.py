@@ -84,6 +84,27 @@ def test_leaks_of_empty_tables_and_short_items(spark, items):
     assert leak_found(spark, [text, text], {1: text, 2: text}) == {(1, 0), (1, 1), (2, 0), (2, 1)}
 
 
+RUSSIAN = "В начале осени суд первой инстанции рассмотрел жалобу владельца старой мельницы на решение городского совета и установил что договор аренды был расторгнут без уведомления а плата за два года осталась невозвращённой поэтому ответчик обязан вернуть деньги"
+GREEK = "το δικαστήριο έκρινε ότι η σύμβαση μίσθωσης του παλαιού μύλου λύθηκε χωρίς προειδοποίηση και ότι ο εναγόμενος οφείλει να επιστρέψει τα μισθώματα δύο ετών στον ιδιοκτήτη της γης μαζί με τους νόμιμους τόκους"
+CHINESE = "法院認為原告提出的證據不足以證明被告在合同到期之前擅自解除租賃關係並拒絕退還押金因此駁回全部訴訟請求"
+
+
+def test_leaks_in_other_scripts(spark):
+    items = {1: RUSSIAN, 2: GREEK, 3: CHINESE}
+    texts = [f"Plain words before. {RUSSIAN.upper()} and after.", f"x {GREEK} y", f"前文不同。{CHINESE}後文。", "Совсем другой текст о погоде и о море без всякой связи с делом", "其他內容與此無關" * 5]
+    assert leak_found(spark, texts, items) == {(1, 0), (2, 1), (3, 2)}
+    # Latin text whose encoding is wrong keeps its numbers
+    text = "Le procès-verbal a été déposé à côté de la forêt – où est-elle ? À l’été dernier"
+    for page in ("cp1251", "koi8-r", "iso8859-7", "cp866"):
+        assert numbers(decode(text.encode(), page)) == numbers(text)
+    assert numbers("мир и Море") == numbers("море") != numbers("горе") and len(numbers("天地42玄黄x")) == 6
+
+
+def test_a_long_repetitive_document(spark, items):
+    text = items[sorted(items)[2]]
+    assert leak_found(spark, [(text + " ") * 300], {7: text}) == {(7, 0)}
+
+
 def test_stock_sentences_are_no_leak(spark, items):
     stock = "The parties were given the full opportunity to comment on the whole file and neither of them asked the court for any further hearing of witnesses in this matter at all"
     docs = [f"{stock} {k} number {k * 7}." for k in range(40)]
@@ -171,6 +192,25 @@ def test_mixture(spark):
     assert none.count() == 0 and report.filter("actual_share = 0").count() == 4
 
 
+@pytest.mark.parametrize("how", [{}, {"blocks": 20, "shard_tokens": 20_000}, {"blocks": 20, "shard_tokens": 2_000}, {"blocks": 7, "shard_tokens": 300, "shard_blocks": 1}])
+def test_shares_hold_whatever_the_blocks_and_shards(spark, how):
+    """The size and the shares of a mixture don't depend on how blocks and shards relate."""
+    rng = random.Random(12)
+    rows = [(k, "abcd"[min(3, int(rng.expovariate(0.8)))], "word " * rng.randrange(3, 200)) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.3, 2), ("c", 0.2, 3), ("d", 0.1, 3)], "source string, target_share double, max_repeats int")
+    mixed, report = mix_sources(docs, targets, **how)
+    r = {x["source"]: x for x in report.collect()}
+    full = min(r[s]["available_tokens"] * m / w for s, w, m in (("a", 0.4, 1), ("b", 0.3, 2), ("c", 0.2, 3), ("d", 0.1, 3)))
+    block = full / how.get("blocks", 100_000)
+    total = sum(x["tokens"] for x in r.values())
+    assert abs(total - full) <= max(block, 0.01 * full)
+    for x in r.values():
+        assert abs(x["tokens"] - x["target_share"] * full) <= max(block, 0.01 * full)
+    assert mixed.groupBy().agg(F.sum(F.col("tokens") * F.col("copies"))).first()[0] == total
+    assert all(x["most_copies"] <= {"a": 1, "b": 2, "c": 3, "d": 3}[x["source"]] for x in r.values())
+
+
 CLEAN = {
     "fr": "L’été dernier, Élodie a reçu 3 000 écus à côté de la forêt ; où est-elle ? « Ça va », dit-il. Le procès-verbal a été déposé chez le notaire, même à l’écluse. ",
     "de": "Die Prüfstelle erklärte, dass das Gemälde im Büro der Behörde größer sei. „Schöne Grüße“, heißt es in der Erklärung für die Fähre. ",
@@ -324,6 +364,11 @@ print("done")
     assert "done" in run.stdout, run.stderr[-3000:]
 
 
+def test_shares_of_the_query(spark, sf):
+    rows = QUERIES["p7_shares_held"](spark, sf.replace("sf0.001", "sf0.01")).collect()
+    assert len(rows) == 6 and all(r["share_held"] and r["repeats_held"] and r["adds_up"] for r in rows)
+
+
 @pytest.mark.parametrize("name", ["p6_passages", "p7_shares", "p8_restored"])
 def test_queries_run(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
