@@ -411,7 +411,9 @@ def learn_source(counts: pd.DataFrame, model: Model) -> tuple[dict[int, float],
     prior, free = model.share * _CORPUS, model.free * _CORPUS
     for _ in range(4):
         e.step(prior, free)
-    found = {int(z): float(e.share[z]) for z in np.flatnonzero(e.found >= 0.3)}
+    # swaps that do the same to what is here share its occurrences
+    least = min(0.3, 0.5 * float(e.found.max(initial=0.0)))
+    found = {int(z): float(e.share[z]) for z in np.flatnonzero((e.found >= least) & (e.found > 0.01))}
     table = {}
     for u, row in e.learnt_table().items():
         table[u] = {model.names[x]: float(row[x]) for x in np.flatnonzero(row > 1.5 / _POSSIBLE)}
