@@ -48,7 +48,7 @@ ODDS = 1000.0
 #: Least posterior probability of an original that is put into the text.
 SURE = 0.8
 #: Shares before anything is learnt: of all swaps of UTF-8, of all others, of the unknown one; and the weight of these, in occurrences.
-_START = (0.01, 0.01, 0.0005)
+_START = (0.01, 0.003, 0.0005)
 _PRIOR = 500.0
 #: Weight of the corpus, in occurrences, where a source is learnt.
 _CORPUS = 200.0
@@ -412,8 +412,8 @@ def learn_source(counts: pd.DataFrame, model: Model) -> tuple[dict[int, float],
     for _ in range(4):
         e.step(prior, free)
     # swaps that do the same to what is here share its occurrences
-    least = min(0.3, 0.5 * float(e.found.max(initial=0.0)))
-    found = {int(z): float(e.share[z]) for z in np.flatnonzero((e.found >= least) & (e.found > 0.01))}
+    least = min(0.3, max(0.1, 0.5 * float(e.found.max(initial=0.0))))
+    found = {int(z): float(e.share[z]) for z in np.flatnonzero(e.found >= least)}
     table = {}
     for u, row in e.learnt_table().items():
         table[u] = {model.names[x]: float(row[x]) for x in np.flatnonzero(row > 1.5 / _POSSIBLE)}
