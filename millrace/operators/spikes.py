@@ -116,7 +116,7 @@ def flag_readings(
     counts = counts.groupBy(*source, "hour", "pos").agg(F.sum("w").alias("w")).join(broadcast_if_small(usual, _SMALL), source)
     limits = durable(_limits(durable(counts), source, ks[by.index(kind)], risk, _residual_season))
     distances = read.filter(F.col("what") == READING).select(*source, "i", "hour", F.col("x").alias("dist")).unionByName(seams.filter("dist > 0").select(*source, "i", "hour", "dist"))
-    over = distances.join(broadcast_if_small(limits, 24 * _SMALL), [*source, "hour"])
+    over = distances.join(broadcast_if_small(limits, _SMALL), source).withColumn("season", F.element_at("seasons", F.col("hour") + 1))
     over = over.withColumn("changes", F.col("dist") / F.col("usual")).withColumn("residual", F.col("changes") / F.col("season")).filter("residual > cutoff")
     spikes = over.select(*source, "i", F.lit(True).alias("spike"), F.lit(False).alias("stuck"), "changes", "residual", "cutoff")
     none = F.lit(None).cast("double")
@@ -148,7 +148,7 @@ def flag_magnitudes(rows: DataFrame, *, by: Sequence[str], time: str, id: str, v
     ratios = narrow.filter((x > 0) & (x < float("inf"))).join(broadcast_if_small(middle, _SMALL), ks).withColumn("times", x / F.col("usual"))
     counts = ratios.groupBy(*ks, "hour", "usual", F.round(F.log("times") / _STEP).cast("long").alias("pos")).agg(F.count(F.lit(1)).alias("w"))
     limits = durable(_limits(durable(counts.withColumn("f", F.lit(0))), [*ks, "f"], None, risk, _ratio_season)).drop("f", "usual")
-    over = ratios.join(broadcast_if_small(limits, 24 * _SMALL), [*ks, "hour"]).withColumn("residual", F.log("times") - F.col("season")).filter("residual > cutoff")
+    over = ratios.join(broadcast_if_small(limits, _SMALL), ks).withColumn("residual", F.log("times") - F.element_at("seasons", F.col("hour") + 1)).filter("residual > cutoff")
     return over.select(*[F.col(k).alias(c) for k, c in zip(ks, by)], F.col("i").alias(id), "times", "residual", "cutoff")
 
 
@@ -221,7 +221,7 @@ def _ratio_season(level: np.ndarray, weight: np.ndarray, hour: np.ndarray) -> tu
 
 
 def _limits(counts: DataFrame, source: list[str], kind: str | None, risk: float, season_of) -> DataFrame:
-    """Season, usual change and cutoff of every source and hour of ``counts`` (``source``, ``hour``, ``pos``, ``w``, ``usual``).
+    """Usual change, seasons (one per hour) and cutoff of every source of ``counts`` (``source``, ``hour``, ``pos``, ``w``, ``usual``).
 
     A source has at most as many rows here as hours times steps of the grid.
     """
@@ -246,12 +246,12 @@ def _limits(counts: DataFrame, source: list[str], kind: str | None, risk: float,
             season, level = season_of(level, weight, hour)
             more, pseudo, shape = prior[tuple(key[k] for k in pool)]
             cutoff = tail_cutoff(fit_tail(np.concatenate([level, more]), np.concatenate([weight, pseudo]), shape), risk)
-            columns = [pa.repeat(pa.scalar(v, table.schema.field(k).type), 24) for k, v in key.items()]
-            columns += [pa.array(np.arange(24), pa.int32()), pa.array(np.full(24, float(usual))), pa.array(season), pa.array(np.full(24, cutoff))]
-            yield pa.record_batch(columns, names=[*source, "hour", "usual", "season", "cutoff"])
+            columns = [pa.array([v], table.schema.field(k).type) for k, v in key.items()]
+            columns += [pa.array([float(usual)]), pa.array([season.tolist()], pa.list_(pa.float64())), pa.array([cutoff])]
+            yield pa.record_batch(columns, names=[*source, "usual", "seasons", "cutoff"])
 
     kinds = [T.StructField(k, counts.schema[k].dataType) for k in source]
-    schema = T.StructType([*kinds, T.StructField("hour", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in ("usual", "season", "cutoff")]])
+    schema = T.StructType([*kinds, T.StructField("usual", T.DoubleType()), T.StructField("seasons", T.ArrayType(T.DoubleType())), T.StructField("cutoff", T.DoubleType())])
     return counts.repartition(*source).sortWithinPartitions(*source).mapInArrow(fit, schema)
 
 
