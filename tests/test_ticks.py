@@ -176,7 +176,7 @@ def test_flags_of_empty_constant_and_clashing_tables(spark):
     assert not any(r["spike"] for r in _flags(_readings(spark, [5.0] * 10)).values())
     clash = _readings(spark, walk(50)).withColumns({"k0": F.lit(1), "t": F.lit(2), "slice": F.lit(3), "I": F.lit(4)})
     assert not any(r["stuck"] or r["changes"] > 25 for r in _flags(clash.drop("I")).values())
-    sizes = spark.createDataFrame([("a", k, k, s) for k, s in enumerate([10] * 60 + [401, 400, None, 0, -5])] + [(None, 1, 99, 10_000)], "s string, t long, i long, n long")
+    sizes = spark.createDataFrame([("a", k, k, s) for k, s in enumerate([10] * 100 + [401, 400, None, 0, -5])] + [(None, 1, 999, 10_000)], "s string, t long, i long, n long")
     got = flag_magnitudes(sizes, by=["s"], time="t", id="i", value="n")
-    assert {r["i"] for r in got.filter("times > 40").collect()} == {60}
+    assert {r["i"] for r in got.filter("times > 40").collect()} == {100}
     assert flag_magnitudes(sizes.limit(0), by=["s"], time="t", id="i", value="n").count() == 0
