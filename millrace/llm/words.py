@@ -55,16 +55,19 @@ def word_numbers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return empty.astype(np.uint32), empty, empty
     raw = np.frombuffer(buffers[2], dtype=np.uint8)[offsets[0] : offsets[-1]]
     offsets = (offsets - offsets[0]).astype(np.int64)
-    foreign = _OTHER_SCRIPT[raw]
-    if foreign.any():
-        upper = np.flatnonzero(np.add.reduceat(np.append(foreign, False), np.minimum(offsets[:-1], len(raw))) >= 3)
-        lower = _lower(texts, upper)
+    # texts with enough letters of another script for a word
+    which = np.flatnonzero(np.bincount(np.searchsorted(offsets, np.flatnonzero(_OTHER_SCRIPT[raw]), side="right") - 1, minlength=n) >= 4)
+    if len(which):
+        lower = _lower(texts, which)
         if lower is not texts:
             return word_numbers(lower)
     kind = _LUT[raw]
     _join_lines(raw, kind)
     _drop_entities(raw, kind)
-    apart = _other_scripts(raw, kind, foreign) if foreign.any() else None
+    apart = np.full(len(raw), -1, dtype=np.int64) if len(which) else None
+    for k in which.tolist():
+        mine = slice(offsets[k], offsets[k + 1])
+        apart[mine] = _other_scripts(raw[mine], kind[mine])
     at = np.flatnonzero((kind != _SEPARATOR) & (kind != _DROP))
     if not len(at):
         return empty.astype(np.uint32), empty, empty
@@ -104,8 +107,9 @@ def _lower(texts: pa.Array, which: np.ndarray) -> pa.Array:
     return pa.compute.replace_with_mask(texts, pa.array(mask), low)
 
 
-def _other_scripts(raw: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Gives the letters of other scripts their kinds; the result tells apart the characters that are words of their own."""
+def _other_scripts(raw: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Gives the letters of other scripts in one text their kinds; the result tells apart the characters that are words of their own."""
+    first = _OTHER_SCRIPT[raw]
     after = (raw & 0xC0) == 0x80
     character = np.cumsum(~after)
     letter = np.zeros(len(raw), dtype=bool)
