@@ -217,6 +217,11 @@ class Frame:
             return Frame(vectors.vector_join(self.df, probe.df, left=left, right=right, k=k, suffix=suffix))
         return Frame(vectors.vector_join(probe.df, self.df, left=right, right=left, k=k, suffix=suffix))
 
+    def vector_index(self, vec_column: str, **how) -> IndexedVectors:
+        """This frame in an index of its vectors (see ``VectorIndex``), for approximate searches."""
+        index = vectors.VectorIndex.fit(self.df, vec_column, **how)
+        return IndexedVectors(index, durable(index.assign(self.df, vec_column)), vec_column)
+
     def vector_range_join(self, probe: Frame, vec_column: str, least: float, suffix: str = "_probe") -> Frame:
         return Frame(vectors.vector_join(self.df, probe.df, left=vec_column, right=vec_column, k=None, least=least, suffix=suffix))
 
@@ -412,3 +417,14 @@ def _series(f: Callable, kind: str, df: DataFrame, required: list[str]) -> Colum
 
 
 __all__ = ["Frame", "GroupedFrame", "OrderedFrame", "split_list"]
+
+
+class IndexedVectors:
+    """Rows with the cells of an index of their vectors."""
+
+    def __init__(self, index: vectors.VectorIndex, rows: DataFrame, column: str) -> None:
+        self.index, self.rows, self.column = index, rows, column
+
+    def search(self, probe: Frame, k: int = 1, vec_column: str | None = None, suffix: str = "_probe") -> Frame:
+        """The ``k`` rows nearest to every probe among the cells that its search looks into."""
+        return Frame(vectors.vector_join(self.rows, probe.df, left=self.column, right=vec_column or self.column, k=k, suffix=suffix, index=self.index))

@@ -21,6 +21,20 @@ def ordinal(df: DataFrame, name: str) -> Column:
     raise TypeError(f"{name} must be an integer, date or timestamp, not {kind}")
 
 
+#: Rows of a key that one task may sort; a key with more is cut into spans of time.
+MOST_ROWS = 1_000_000
+
+
+def hot_span(df: DataFrame, key: str, at: Column) -> int | None:
+    """Span of time in which the densest key has about ``MOST_ROWS`` rows; None if no key has more.
+
+    One pass over two columns, aggregated before the shuffle.
+    """
+    per_key = df.select(F.col(key).alias("k"), at.alias("t")).dropna().groupBy("k").agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t") + 1).alias("long"))
+    width = per_key.filter(F.col("n") > MOST_ROWS).agg(F.min(F.col("long").cast("double") / F.col("n"))).first()[0]
+    return None if width is None else max(1, int(width * MOST_ROWS))
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -41,8 +55,9 @@ def asof_join(
     one time the last by ``tie`` wins (forward: the first).  Null keys and times match
     nothing.  ``tolerance`` and ``span`` are in the time's unit (microseconds for timestamps).
 
-    With ``span`` a key is cut into spans of time, so a hot key is many tasks: a span starts
-    from the last right row before it, taken from one row per key and span.
+    A key is cut into spans of time, so a hot key is many tasks: a span starts from the last
+    right row before it, taken from one row per key and span.  Without ``span`` it is found from
+    the densest key (``hot_span``), and keys aren't cut if none is large.
     """
     back = direction == "backward"
     if not back and direction != "forward":
@@ -55,7 +70,12 @@ def asof_join(
     tie_key = F.struct(F.lit(0).alias("none"), *[F.col(c) for c in tie])
     r = right.select(F.col(right_by).alias("k"), rt.alias("t"), tie_key.alias("tie"), F.struct(rt.alias("at"), F.struct(*[F.col(c).alias(names[c]) for c in kept]).alias("row")).alias("r"))
     r = r.filter(F.col("k").isNotNull() & F.col("t").isNotNull())
-    rows = left.select(F.col(left_by).alias("k"), lt.alias("t"), F.struct(*[F.col(c) for c in left.columns]).alias("l"))
+    every = left.select(F.col(left_by).alias("k"), lt.alias("t"), F.struct(*[F.col(c) for c in left.columns]).alias("l"))
+    known = F.col("k").isNotNull() & F.col("t").isNotNull()
+    rows = every.filter(known)
+    if span is None:
+        wide = [hot_span(d, c, o) for d, c, o in ((left, left_by, ordinal(left, left_on)), (right, right_by, ordinal(right, right_on)))]
+        span = min([w for w in wide if w is not None], default=None)
     part = ["k"]
     if span:
         part = ["k", "b"]
@@ -66,20 +86,22 @@ def asof_join(
     tied = F.col("tie").asc() if back else F.col("tie").desc()
     both = r.select(*part, "t", F.lit(0).alias("side"), "tie", "r", no_l).unionByName(rows.select(*part, "t", F.lit(1).alias("side"), no_tie, no_r, "l"))
     if span:
-        # the right row that a span hands on: its last time, of equal ones by tie
-        last_time = Window.partitionBy("k", "b").orderBy(F.col("t").desc(), F.col("tie").desc() if back else F.col("tie").asc())
-        tails = r.withColumn("n", F.row_number().over(last_time)).filter("n = 1").select("k", "b", "r")
+        # the right row that a span hands on: its last time, of equal ones by tie; combined before the shuffle
+        if back:
+            tails = r.groupBy("k", "b").agg(F.max_by("r", F.struct("t", "tie")).alias("r"))
+        else:
+            latest = r.groupBy("k", "b").agg(F.max(F.struct("t")).alias("top"))
+            tails = r.join(latest, ["k", "b"]).filter(F.col("t") == F.col("top.t")).groupBy("k", "b").agg(F.min_by("r", "tie").alias("r"))
         spans = tails.unionByName(rows.select("k", "b").distinct().withColumn("r", no_r)).groupBy("k", "b").agg(F.first("r", ignorenulls=True).alias("r"))
         before = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
         carried = spans.withColumn("r", F.last("r", ignorenulls=True).over(before)).filter("r is not null")
         both = both.unionByName(carried.select("k", "b", F.lit(None).cast("long").alias("t"), F.lit(0).alias("side"), no_tie, "r", no_l))
     seq = Window.partitionBy(*part).orderBy(F.col("t").asc_nulls_first(), F.col("side"), tied).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("m", F.last("r", ignorenulls=True).over(seq)).filter("side = 1")
-    ok = F.col("k").isNotNull() & F.col("t").isNotNull()
-    if tolerance is not None:
-        ok &= F.col("t") - F.col("m.at") <= tolerance
-    row = F.when(ok, F.col("m.row"))
+    row = F.col("m.row") if tolerance is None else F.when(F.col("t") - F.col("m.at") <= tolerance, F.col("m.row"))
     out = found.select("l", row.alias("row"))
+    # rows that can't match stay out of the windows, where all of them would be one key
+    out = out.unionByName(every.filter(~known).select("l", F.lit(None).cast(out.schema["row"].dataType).alias("row")))
     return out.select(*[F.col("l").getField(c).alias(c) for c in left.columns], *[F.col("row").getField(n).alias(n) for n in names.values()])
 
 

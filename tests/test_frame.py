@@ -3,6 +3,7 @@
 from datetime import timedelta
 
 import pandas as pd
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,8 +13,8 @@ from millrace.functions.expr import col
 from millrace.functions.sqltext import aliased, split_list
 from millrace.operators.patterns import conjuncts
 from millrace.operators.stats import gramian
-from millrace.operators.timejoin import asof_join, range_join
-from millrace.operators.windows import Hopping, OnCompletion, OnEvent, Session, Sliding, windowed
+from millrace.operators.timejoin import asof_join, hot_span, range_join
+from millrace.operators.windows import Hopping, OnCompletion, OnEvent, Session, Sliding, shift, windowed
 
 
 def rows(df):
@@ -148,6 +149,26 @@ def test_vectors_with_zero_null_and_few_rows(spark):
     assert got.schema == ["i", "e", "i_probe", "e_probe", "similarity", "rank"]
     assert [(r["i"], r["rank"]) for r in got.df.orderBy("rank").collect()] == [(1, 1), (4, 2), (2, 3)]
     assert a.vector_nn_join(Frame(p.df.limit(0)), "e", k=2).length() == 0
+    # probe rows that are alike have results of their own; of equal rows the first by the other columns stay
+    twice = Frame(p.df.union(p.df))
+    assert sorted((r["i"], r["rank"]) for r in a.vector_nn_join(twice, "e", k=2).df.collect()) == [(1, 1), (1, 1), (4, 2), (4, 2)]
+    many = Frame(spark.range(500).select(F.col("id").alias("i"), F.array(F.lit(1.0), F.lit(0.0)).alias("e")).repartition(3))
+    assert sorted(r["i"] for r in many.vector_nn_join(p, "e", k=3).df.collect()) == [0, 1, 2]
+
+
+def test_vector_blocks_and_index(spark, monkeypatch):
+    monkeypatch.setattr("millrace.operators.vectors.MOST_PROBES", 7)
+    monkeypatch.setattr("millrace.operators.vectors.MOST_SIMILARITIES", 60)
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(400, 8))
+    df = Frame(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "i long, e array<double>").repartition(4))
+    probe = Frame(df.df.filter("i % 20 = 0"))
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    want = {(p, int(i)) for p in range(0, 400, 20) for i in np.argsort(-(unit @ unit[p]), kind="stable")[:6]}
+    assert {(r["i_probe"], r["i"]) for r in df.vector_nn_join(probe, "e", k=6).df.collect()} == want
+    found = {(r["i_probe"], r["i"]) for r in df.vector_index("e", k=6).search(probe, k=6).df.collect()}
+    assert len(found & want) >= 0.9 * len(want)
+    assert Frame(df.df.limit(0)).vector_index("e").search(probe, k=2).length() == 0
 
 
 def test_plans(spark, sf):
@@ -193,3 +214,38 @@ def test_rest_source(spark):
     assert rows(e.read_rest_get(url, [1, 2, 3], "n long, name string", batch_size=2).df) == [(1, "x1"), (2, None)]
     assert rows(e.read_rest_post(url, [{"n": 5}], "n long, name string").df) == [(5, "p")]
     server.shutdown()
+
+
+def test_hot_keys_are_cut(spark, monkeypatch):
+    """With one key that holds half of the rows, every ordered operator gives what it gives in one piece."""
+    rng = np.random.default_rng(2)
+    n = 900
+    key = np.where(rng.random(n) < 0.5, "hot", rng.choice(list("abcd"), n))
+    rows = [(str(k), int(t), i, float(v)) for i, (k, t, v) in enumerate(zip(key, rng.integers(0, 3000, n), rng.normal(size=n)))] + [(None, 5, 9001, 1.0), ("hot", None, 9002, 1.0)]
+    df = spark.createDataFrame(rows, "k string, t long, i long, v double").withColumn("p", F.lit(1))
+    right = df.filter("i % 3 = 0").drop("p")
+
+    def results():
+        how = dict(left_on="t", right_on="t", left_by="k", right_by="k", tie=["i"])
+        return [
+            sorted(map(repr, x.collect()))
+            for x in (
+                asof_join(df, right, **how),
+                asof_join(df, right, direction="forward", tolerance=40, **how),
+                windowed(df, Sliding("t", "k", {"n": "count(*)", "s": "max(v)"}, size_before=25, closed="both"), OnEvent()),
+                windowed(df, Session("t", "k", {"n": "count(*)", "s": "max(v)"}, timeout=6), OnCompletion()),
+                windowed(df, Session("t", "k", {"n": "count(*)"}, timeout=6), OnEvent()),
+                shift(df, ["v"], 2, by="k", order_by="t", tie=("i",)),
+                shift(df, ["v"], -40, by="k", order_by="t", fill=0.0, tie=("i",)),
+            )
+        ]
+
+    whole = results()
+    monkeypatch.setattr("millrace.operators.timejoin.MOST_ROWS", 30)
+    assert hot_span(df, "k", F.col("t")) is not None
+    for a, b in zip(results(), whole):
+        assert a == b
+    # the pieces of the hot key are alike
+    span = hot_span(df, "k", F.col("t"))
+    sizes = [r["count"] for r in df.filter("k = 'hot' and t is not null").groupBy((F.col("t") / span).cast("long")).count().collect()]
+    assert len(sizes) > 8 and max(sizes) < 3 * np.median(sizes)
