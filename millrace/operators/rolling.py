@@ -2,8 +2,8 @@
 
 Method: the state of a key on a day holds its totals over each trailing period.  A day's
 state is yesterday's totals, plus the day's arrivals, minus the amounts of the day that
-leaves the period.  ``roll_forward`` takes the state table of one day to the next version;
-``build_state`` runs the same recurrence over a whole history at once, as a running sum of
+leaves the period.  ``roll_forward`` takes the kept state of one day to the next, ``advance``
+does so day after day; ``build_state`` runs the same recurrence over a whole history at once, as a running sum of
 (arriving - expiring) amounts; ``correct_state`` recomputes only the days that a late or
 corrected amount touches and gives them the next version.
 
@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.plans import durable
+
 #: Digits of a single amount; a sum has ten more.
 AMOUNT_DIGITS = 28
 
@@ -58,7 +60,8 @@ def _amount_columns(daily: DataFrame) -> list[str]:
 def build_state(daily: DataFrame, periods: Sequence[int], *, first: int | None = None, last: int | None = None, version: int = 0) -> DataFrame:
     """The state of every key on every day from ``first`` to ``last`` (by default those of ``daily``).
 
-    Columns: ``key``, ``day``, ``<amount>_<period>`` and ``version``; days without activity included.
+    Columns: ``key``, ``day``, ``<amount>_<period>`` and ``version``; days without activity included,
+    and keys whose first day comes later.
     """
     amounts = _amount_columns(daily)
     if first is None or last is None:
@@ -90,19 +93,27 @@ def roll_forward(state: DataFrame, daily: DataFrame, periods: Sequence[int], day
     yesterday; the latest counts.
     """
     amounts = _amount_columns(daily)
-    yesterday = latest(state.filter(F.col("day") == day - 1)).drop("day", "version")
-    parts = [daily.filter(F.col("day") == day).select("key", *[F.col(c).alias(f"in_{c}") for c in amounts])]
-    for n in periods:
-        parts.append(daily.filter(F.col("day") == day - n).select("key", *[F.col(c).alias(f"out_{c}_{n}") for c in amounts]))
-    joined = yesterday
-    for p in parts:
-        joined = joined.join(p, "key", "full")
+    wide = {f"{c}_{n}": _wide(daily.schema[c].dataType) for n in periods for c in amounts}
 
-    def moved(c: str, n: int) -> Column:
-        zero = F.lit(0).cast(state.schema[f"{c}_{n}"].dataType)
-        return (F.coalesce(f"{c}_{n}", zero) + F.coalesce(f"in_{c}", zero) - F.coalesce(f"out_{c}_{n}", zero)).cast(state.schema[f"{c}_{n}"].dataType).alias(f"{c}_{n}")
+    def signed(of: int, sign: int, live: Sequence[int]) -> DataFrame:
+        """The amounts of one day, as what they add to the totals of some periods."""
+        cols = [((F.col(c) * sign) if n in live else F.lit(0)).cast(wide[f"{c}_{n}"]).alias(f"{c}_{n}") for n in periods for c in amounts]
+        return daily.filter(F.col("day") == of).select("key", *cols)
 
-    return joined.select("key", F.lit(day).alias("day"), *[moved(c, n) for n in periods for c in amounts], F.lit(version).alias("version"))
+    flows = latest(state.filter(F.col("day") == day - 1)).select("key", *[F.col(c).cast(t).alias(c) for c, t in wide.items()]).unionByName(signed(day, 1, periods))
+    for n in periods:
+        flows = flows.unionByName(signed(day - n, -1, [n]))
+    totals = flows.groupBy("key").agg(*[F.sum(c).cast(t).alias(c) for c, t in wide.items()])
+    return totals.select("key", F.lit(day).alias("day"), *wide, F.lit(version).alias("version"))
+
+
+def advance(state: DataFrame, daily: DataFrame, periods: Sequence[int], days: Sequence[int], *, version: int) -> DataFrame:
+    """``state`` with the given days added one after the other, each from the kept state of the day before."""
+    out, kept = state, state
+    for day in days:
+        kept = durable(roll_forward(kept, daily, periods, day, version=version))
+        out = out.unionByName(kept)
+    return out
 
 
 def correct_state(state: DataFrame, corrections: DataFrame, periods: Sequence[int], *, version: int) -> DataFrame:

@@ -58,6 +58,21 @@ def covariance(t: Tables) -> Frame:
     return _rounded(t.lineitem.with_columns_sql("l_extendedprice / 1000 as price_k").covariance(_MATRIX))
 
 
+#: Columns of the wide matrix: remainders of keys at so many divisors.
+_WIDE = 200
+
+
+@add(f"""with x as (select l_orderkey, l_partkey, l_linenumber from lineitem), j as (select unnest(range({_WIDE})) as j)
+select 'c' || j as "column", sum((l_orderkey % (j + 3)) * (l_partkey % 5))::double as c2, sum((l_orderkey % (j + 3)) * (l_orderkey % 3))::double as c0, sum((l_orderkey % (j + 3)) * (l_orderkey % {_WIDE + 2}))::double as c_last
+from x, j where j <> 2 group by j union all
+select 'c2', sum((l_partkey % 5) * (l_partkey % 5))::double, sum((l_partkey % 5) * (l_orderkey % 3))::double, sum((l_partkey % 5) * (l_orderkey % {_WIDE + 2}))::double from x""")
+def gramian_wide(t: Tables) -> Frame:
+    """The matrix of 200 columns by column blocks; three of its columns are shown."""
+    columns = [f"c{j}" for j in range(_WIDE)]
+    x = t.lineitem.df.select(*[(F.pmod("l_partkey", F.lit(5)) if j == 2 else F.pmod("l_orderkey", F.lit(j + 3))).alias(c) for j, c in enumerate(columns)])
+    return Frame(Frame(x).gramian(columns).df.select("column", "c2", "c0", F.col(columns[-1]).alias("c_last")))
+
+
 _SIM = "list_cosine_similarity(cast(e.embedding as double[]), cast(p.embedding as double[]))"
 
 

@@ -9,6 +9,7 @@ from millrace.functions.ticks import canonical_symbol, table, utc_day
 from millrace.operators import rolling
 from millrace.operators.spikes import flag_magnitudes, flag_readings
 from millrace.operators.skew import value_frequencies, weighted_profile
+from millrace.plans import durable
 
 SYMBOL_SQL = r"nullif(regexp_replace(upper(symbol), '^\s+|\s*(\.CSV\.GZ)?\s*$', '', 'g'), '')"
 
@@ -28,7 +29,7 @@ def _last(value: str, *order: str) -> F.Column:
 
 def p3_trades_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, totals, distinct prices, most frequent, median and 95th percentile price, last price."""
-    trades = _trades(spark, sf_dir)
+    trades = durable(_trades(spark, sf_dir))  # redelivered rows are found once, for both branches
     profile = weighted_profile(value_frequencies(trades, ["symbol"], "price"), ["symbol"], "price", percentiles=[0.5, 0.95])
     totals = trades.groupBy("symbol").agg(
         F.count("*").alias("trades"),
@@ -40,7 +41,7 @@ def p3_trades_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_quotes_by_symbol(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same of the quotes' bids, with the total size bid for."""
-    quotes = _quotes(spark, sf_dir)
+    quotes = durable(_quotes(spark, sf_dir))
     profile = weighted_profile(value_frequencies(quotes, ["symbol"], "bid"), ["symbol"], "bid", percentiles=[0.05, 0.5])
     totals = quotes.groupBy("symbol").agg(
         F.count("*").alias("quotes"),
@@ -66,6 +67,8 @@ select t.*, m.v as {columns} from t left join m on t.symbol is not distinct from
 
 
 PERIODS = (7, 30)
+#: Days that p4_rolling adds to the kept state one by one.
+NEW_DAYS = 3
 
 
 def _daily(trades: DataFrame) -> DataFrame:
@@ -75,20 +78,27 @@ def _daily(trades: DataFrame) -> DataFrame:
 def p4_rolling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of size and average price over the last 7 and 30 days, for each symbol and day from first to last.
 
-    Trades that came on a later day than their own are corrections: the state is built from
-    the others first, then the days that a correction touches get a second version.
+    The state of the history is built at once and kept; the last ``NEW_DAYS`` days arrive one
+    after the other, each from the kept state of the day before.  Trades that came on a later
+    day than their own are corrections: the days that one touches get a second version.
     """
     trades = table(spark, sf_dir, "trades").select("trade_id", "time", canonical_symbol(F.col("symbol")).alias("symbol"), "size", "price", F.unix_micros(F.col("recv_ts").cast("timestamp")).alias("recv"))
     # of redelivered rows the first to arrive counts
     trades = trades.groupBy("trade_id", "time", "symbol", "size", "price").agg(F.min("recv").alias("recv"))
     late = F.coalesce(utc_day(F.col("recv")) > utc_day(F.col("time")), F.lit(False))
-    both = _daily(trades.withColumn("symbol", F.struct("symbol", late.alias("late"))).filter("symbol.symbol is not null"))
+    # one row per symbol, day and kind of arrival
+    both = durable(_daily(trades.withColumn("symbol", F.struct("symbol", late.alias("late"))).filter("symbol.symbol is not null")))
     amounts = [c for c in both.columns if c not in ("key", "day")]
     on_time = F.col("key.late") == F.lit(False)
     # every key and both ends of the calendar must be there, also where all trades came late
     daily = both.groupBy(F.col("key.symbol").alias("key"), "day").agg(*[F.sum(F.when(on_time, F.col(c)).otherwise(F.lit(0).cast(both.schema[c].dataType))).cast(both.schema[c].dataType).alias(c) for c in amounts])
+    daily = durable(daily)
     corrections = both.filter(~on_time).select(F.col("key.symbol").alias("key"), "day", *amounts)
-    state = rolling.build_state(daily, PERIODS)
+    first, last = daily.agg(F.min("day"), F.max("day")).first()
+    first, last = (0, -1) if first is None else (first, last)
+    known = max(first, last - NEW_DAYS)
+    state = durable(rolling.build_state(daily, PERIODS, first=first, last=known)) if last >= first else rolling.build_state(daily, PERIODS)
+    state = rolling.advance(state, daily, PERIODS, range(known + 1, last + 1), version=0)
     state = rolling.latest(state.unionByName(rolling.correct_state(state, corrections, PERIODS, version=1)))
     return state.select(
         F.col("key").alias("symbol"),
