@@ -208,30 +208,31 @@ def mingle_sources(t: Tables) -> Frame:
     return got.groupby("stream").agg_sql("sum(n) as n")
 
 
-def backtest_symbol(trades: pd.DataFrame, signals: pd.DataFrame) -> pd.DataFrame:
-    """One unit long or short from each signal at the next price, until the opposite signal; profit by day."""
-    out = []
-    trades = trades.sort_values(["time", "trade_id"])
-    signals = signals.sort_values("time").drop_duplicates("time", keep="last")
-    if len(trades) and len(signals):
-        both = pd.merge_asof(trades, signals[["time", "direction"]], on="time")
-        both["position"] = both["direction"].fillna(0).astype(float)
-        both["profit"] = both["position"].shift(fill_value=0.0) * both["price"].diff().fillna(0.0)
-        both["day"] = both["time"] // 86_400_000_000
-        symbol = both["symbol"].iloc[0]
-        for day, g in both.groupby("day"):
-            out.append((symbol, int(day), float(g["profit"].sum()), float(g["position"].iloc[-1]), len(g)))
-    return pd.DataFrame(out, columns=["symbol", "day", "profit", "position", "trades"])
+_SYMBOL = r"nullif(regexp_replace(upper(symbol), '^\s+|\s*(\.CSV\.GZ)?\s*$', '', 'g'), '')"
 
 
-@add()
+@add(f"""with t as (select distinct trade_id, time, {_SYMBOL} as symbol, price from trades where price > 0 and not isnan(price) and {_SYMBOL} is not null),
+s as (select symbol, time, max(direction) as direction from (select epoch_us(ts) as time, {_SYMBOL} as symbol, direction from alphas where direction is not null and ts is not null) where symbol is not null group by 1, 2),
+b as (select t.*, coalesce(s.direction, 0)::double as position from t asof left join s on t.symbol = s.symbol and t.time >= s.time where t.symbol in (select symbol from s)),
+p as (select *, coalesce(lag(position) over w, 0) * coalesce(price - lag(price) over w, 0) as gain from b window w as (partition by symbol order by time, trade_id))
+select symbol, time // 86400000000 as day, round(sum(gain), 4) as profit, arg_max(position, (time, trade_id)) as position, count(*) as trades from p group by 1, 2""")
 def backtest(t: Tables) -> Frame:
-    """Daily profit of the alpha signals on the trades, by symbol."""
+    """Daily profit of the alpha signals on the trades, by symbol: one unit long or short from each signal's next price until the opposite signal.
+
+    An as-of join finds the signal that holds at a trade, a shift the position before it; both cut hot symbols by time.
+    """
     symbol = canonical_symbol(F.col("symbol")).alias("symbol")
     trades = t.trades.filter_sql("price > 0 and not isnan(price)").df.select("trade_id", "time", symbol, "price").distinct().filter("symbol is not null")
     signals = t.alphas.filter_sql("direction is not null and ts is not null").df
-    signals = signals.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("time"), symbol, "direction").distinct().filter("symbol is not null")
-    return Frame(trades).groupby("symbol").cogroup(Frame(signals).groupby("symbol"), backtest_symbol, "symbol string, day long, profit double, position double, trades long")
+    signals = signals.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("time"), symbol, "direction").filter("symbol is not null")
+    # of signals at one time the long one holds
+    signals = signals.groupBy("symbol", "time").agg(F.max("direction").alias("direction"))
+    traded = trades.join(signals.select("symbol").distinct(), "symbol", "semi")
+    held = Frame(traded).ordered_by("time").join_asof(Frame(signals).ordered_by("time"), by="symbol").with_columns_sql("cast(coalesce(direction, 0) as double) as position")
+    moved = held.select(["symbol", "time", "trade_id", "price", "position"]).ordered_by("time").shift(["position", "price"], 1, by="symbol", tie=["trade_id"])
+    gain = "coalesce(position_shifted, 0) * coalesce(price - price_shifted, 0)"
+    days = moved.with_columns_sql("time div 86400000000 as day").groupby(["symbol", "day"])
+    return days.agg_sql(f"round(sum({gain}), 4) as profit, max_by(position, struct(time, trade_id)) as position, count(*) as trades")
 
 
 @add("select event_type, count(*) as n, max(value) as top from events group by 1")

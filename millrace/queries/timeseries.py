@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.frame import Frame
@@ -178,13 +179,22 @@ def rsi(t: Tables) -> Frame:
     )
 
 
-@add()
+@add(f"""with recursive d as (select symbol, time, close, row_number() over (partition by symbol order by time) as k
+  from (select symbol, time // 86400000000 * 86400000000 as time, arg_max(price, (time, trade_id)) as close from {_PRICES} where symbol is not null group by 1, 2)),
+e as (select symbol, time, k, close as fast, close as slow from d where k = 1
+  union all select d.symbol, d.time, d.k, e.fast * (1 - 2.0::double / 13) + d.close * (2.0::double / 13), e.slow * (1 - 2.0::double / 27) + d.close * (2.0::double / 27) from e join d on d.symbol = e.symbol and d.k = e.k + 1)
+select symbol, time, round(fast, 6) as ema_12, round(slow, 6) as ema_26, round(fast - slow, 6) as macd from e""")
 def ema_macd(t: Tables) -> Frame:
-    """Exponential averages of daily closes over 12 and 26 days and their difference; a day's value builds on the day before."""
+    """Exponential averages of daily closes over 12 and 26 days and their difference; a day's value builds on the day before.
+
+    Python sees one row per symbol and day.
+    """
+
+    def averages(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("time", ignore_index=True)
+        fast, slow = (pdf["close"].ewm(span=n, adjust=False).mean() for n in (12, 26))
+        return pdf[["symbol", "time"]].assign(ema_12=fast.round(6), ema_26=slow.round(6), macd=(fast - slow).round(6))
+
     aggs = {"close": "max_by(price, struct(time, trade_id))"}
     daily = _prices(t).ordered_by("time").windowed_transform(Tumbling("time", "symbol", aggs, size=86_400_000_000), OnCompletion())
-    step = "(s, x) -> named_struct('v', s.v * (1 - {a}) + x.close * {a}, 'out', concat(s.out, array(s.v * (1 - {a}) + x.close * {a})))"
-    run = "aggregate(slice(h, 2, size(h)), named_struct('v', h[0].close, 'out', array(h[0].close)), " + step + ", s -> s.out)"
-    q = "select symbol, h, {fast} as fast, {slow} as slow from (select symbol, array_sort(collect_list(struct(time, close))) as h from {{d}} group by symbol)"
-    q = q.format(fast=run.format(a="cast(2.0 / 13 as double)"), slow=run.format(a="cast(2.0 / 27 as double)"))
-    return t.engine.sql(f"select symbol, z.h.time as time, z.fast as ema_12, z.slow as ema_26, z.fast - z.slow as macd from (select symbol, explode(arrays_zip(h, fast, slow)) as z from ({q}))", d=daily)
+    return daily.groupby("symbol").apply(averages, "symbol string, time long, ema_12 double, ema_26 double, macd double")

@@ -19,6 +19,19 @@ def files_as_stream(spark: SparkSession, location: str) -> DataFrame:
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def flushed(stream: DataFrame, location: str, *, time: str = "ts") -> DataFrame:
+    """The stream with one more row, far later and null but for its time: it moves the watermark past all that there is.
+
+    So windows and sessions that would wait for later rows come out; the row's own stays open.
+    """
+    spark = stream.sparkSession
+    last = spark.read.parquet(location).agg(F.max(F.col(time).cast("timestamp")).alias("last"))
+    columns = [(F.col("last") + F.expr("interval 366 days")).alias(f.name) if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema.fields]
+    place = f"{shared_dir(spark).rstrip('/')}/last-{uuid.uuid4().hex}"
+    last.filter("last is not null").select(*columns).write.parquet(place)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(place))
+
+
 def _is_folder(spark: SparkSession, location: str) -> bool:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(location)
     return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
@@ -42,12 +55,12 @@ def run(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def tumbling(spark: SparkSession, location: str) -> DataFrame:
-    events = files_as_stream(spark, location)
+    events = flushed(files_as_stream(spark, location), location)
     return run(operators.windowed(events, time="ts", by="user_id", size="6 hours", aggregates={"n": "count(*)", "top": "max(value)"}, delay="1 hour"))
 
 
 def sessions(spark: SparkSession, location: str) -> DataFrame:
-    events = files_as_stream(spark, location)
+    events = flushed(files_as_stream(spark, location), location)
     return run(operators.sessions(events, time="ts", by="user_id", timeout="2 hours", aggregates={"n": "count(*)", "top": "max(value)"}, delay="1 hour"))
 
 
@@ -58,6 +71,7 @@ def interval_join(spark: SparkSession, location: str) -> DataFrame:
 
 
 def distinct_pairs(spark: SparkSession, location: str) -> DataFrame:
+    """All pairs of a bounded stream; ``operators.distinct`` with a time and a delay keeps a bounded state where a stream has no end."""
     return run(operators.distinct(files_as_stream(spark, location), ["user_id", "event_type"]))
 
 
