@@ -95,11 +95,11 @@ class Engine:
             raise TypeError(f"{vec_column} is no list")
         return Frame(df)
 
-    def read_rest_get(self, url: str, data: list, schema: str, headers: dict | None = None, batch_size: int = 10_000) -> Frame:
-        return Frame(read_rest(self.spark, "get", url, data, schema, headers, batch_size))
+    def read_rest_get(self, url: str, data: list, schema: str, headers: dict | None = None, batch_size: int = 10_000, **how) -> Frame:
+        return Frame(read_rest(self.spark, "get", url, data, schema, headers, batch_size, **how))
 
-    def read_rest_post(self, url: str, data: list, schema: str, headers: dict | None = None, batch_size: int = 10_000) -> Frame:
-        return Frame(read_rest(self.spark, "post", url, data, schema, headers, batch_size))
+    def read_rest_post(self, url: str, data: list, schema: str, headers: dict | None = None, batch_size: int = 10_000, **how) -> Frame:
+        return Frame(read_rest(self.spark, "post", url, data, schema, headers, batch_size, **how))
 
     def read_sequence(self, n: int, parts: int = 4) -> Frame:
         return Frame(read_sequence(self.spark, n, parts))

@@ -173,12 +173,13 @@ class Frame:
 
     # ---- joins
     def join(
-        self, right: Frame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, suffix: str = "_2", how: str = "inner", maintain_sort_order: Sequence[str] | None = None, broadcast_rows: int = 0
+        self, right: Frame, on: str | None = None, left_on: str | None = None, right_on: str | None = None, suffix: str = "_2", how: str = "inner", maintain_sort_order: str | Sequence[str] | None = None, broadcast_rows: int = 0
     ) -> Frame:
         """Equi-join on one or more keys; left columns, then right ones without its keys, a clash with ``suffix``.
 
         Keys are lists too.  Null keys match nothing.  ``right`` and ``full`` keep the key of
-        either side.  ``maintain_sort_order`` names columns to sort the result by.
+        either side.  ``maintain_sort_order``: ``"left"`` or ``"right"`` gives a frame in the order
+        of that side's time column (the order is made where it is needed), names of columns sort the result.
         The right side is sent to all executors if it is counted to have at most ``broadcast_rows``
         rows; else the planner decides by size.
         """
@@ -196,7 +197,12 @@ class Frame:
         if how in ("right", "full", "outer"):
             out = out.withColumns({c: F.coalesce(c, f"__key{i}") for i, c in enumerate(lk)})
         out = out.drop(*[f"__key{i}" for i in range(len(rk))])
-        return self._new(out.orderBy(*maintain_sort_order) if maintain_sort_order else out)
+        if maintain_sort_order in ("left", "right"):
+            side = self if maintain_sort_order == "left" else right
+            if not isinstance(side, OrderedFrame):
+                raise ValueError(f"the {maintain_sort_order} frame has no order")
+            return OrderedFrame(out, side.time if side is self else names.get(side.time, lk[rk.index(side.time)] if side.time in rk else side.time))
+        return self._new(out.orderBy(*_list(maintain_sort_order)) if maintain_sort_order else out)
 
     def join_on(self, right: Frame, condition: str, how: str = "inner") -> Frame:
         """Any condition over ``l.column`` and ``r.column``; the result has left columns for semi and anti, else all with ``_2`` on clashes."""

@@ -119,27 +119,42 @@ def scan_pattern(df: DataFrame, *, time: str, by: str, events: Sequence[tuple[st
     schema = T.StructType([df.schema[by], *[T.StructField(f"{n}_{c}", df.schema[c].dataType) for n in names for c in (time, id)]])
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["__t", id]).to_dict("records")
+        rows = pdf.sort_values(["__t", id]).assign(__id=pdf[id]).to_dict("records")
         found = []
         for k, row in enumerate(rows):
             if row["__home"] != row["__part"] or not events[0][1](row, {}):
                 continue
-            best: list[list[int]] = []
-            frontier = [[k]]
-            for n, (_, ok) in enumerate(events[1:], 1):
-                grown = []
-                for path in frontier:
-                    past = {names[m]: rows[i] for m, i in enumerate(path)}
-                    for j in range(path[-1] + 1, len(rows)):
-                        if rows[j]["__t"] > row["__t"] + width:
-                            break
-                        if rows[j]["__t"] > rows[path[-1]]["__t"] and ok(rows[j], past):
-                            grown.append([*path, j])
-                frontier = grown
-            best = frontier
+            best = first_match(rows, k, [ok for _, ok in events[1:]], names, width)
             if best:
-                path = min(best, key=lambda p: ([rows[p[-1]]["__t"], *[rows[i]["__t"] for i in p[1:-1]]], [rows[i][id] for i in p[1:]]))
-                found.append([row[by], *[rows[i][c] for i in path for c in (time, id)]])
+                found.append([row[by], *[rows[i][c] for i in best for c in (time, id)]])
         return pd.DataFrame(found, columns=[f.name for f in schema.fields])
 
     return cut.groupBy(by, "__part").applyInPandas(search, schema)
+
+
+def first_match(rows: list[dict], start: int, steps: Sequence[Callable[[dict, dict], bool]], names: Sequence[str], width: int) -> list[int] | None:
+    """The rows of the match from ``start`` that completes first, ties by earlier middle times, then ids.
+
+    Depth first, so only one path is held; a path that can't complete before the best one is given up.
+    """
+    limit = rows[start]["__t"] + width
+    best: tuple | None = None
+
+    def go(path: list[int], past: dict) -> None:
+        nonlocal best
+        step = len(path) - 1
+        last = step == len(steps) - 1
+        for j in range(path[-1] + 1, len(rows)):
+            t = rows[j]["__t"]
+            if t > limit or best is not None and (t > best[0][0] or not last and t >= best[0][0]):
+                break
+            if t > rows[path[-1]]["__t"] and steps[step](rows[j], past):
+                if last:
+                    whole = [*path, j]
+                    rank = ([t, *[rows[i]["__t"] for i in whole[1:-1]]], [rows[i]["__id"] for i in whole[1:]], whole)
+                    best = rank if best is None or rank[:2] < best[:2] else best
+                else:
+                    go([*path, j], {**past, names[step + 1]: rows[j]})
+
+    go([start], {names[0]: rows[start]})
+    return best and best[2]

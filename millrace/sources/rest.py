@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from collections.abc import Iterator
 from urllib.request import Request, urlopen
 
@@ -27,15 +28,24 @@ class RestReader(DataSourceReader):
         return [_Requests(items[k : k + n]) for k in range(0, len(items), n)] or [_Requests([])]
 
     def read(self, partition: _Requests) -> Iterator[tuple]:
-        """A failed call gives no row; a missing field is null."""
+        """A call is tried again ``retries`` times; one that fails for good gives no row, or with ``on_error=fail`` ends the job.  A missing field is null."""
+        failed = 0
         for item in partition.items:
-            try:
-                answer = self._call(item)
-            except (OSError, ValueError):
+            for left in range(int(self.options.get("retries", 2)), -1, -1):
+                try:
+                    answer = self._call(item)
+                    break
+                except (OSError, ValueError):
+                    if not left and self.options.get("on_error", "skip") == "fail":
+                        raise
+            else:
+                failed += 1
                 continue
             for row in answer if isinstance(answer, list) else [answer]:
                 if isinstance(row, dict):
                     yield tuple(_typed(row.get(name), kind) for name, kind in self.fields)
+        if failed:
+            logging.getLogger(__name__).warning("%d of %d calls failed", failed, len(partition.items))
 
     def _call(self, item: object) -> object:
         o = self.options
@@ -77,8 +87,8 @@ class RestSource(DataSource):
         return RestReader(schema, self.options)
 
 
-def read_rest(spark: SparkSession, method: str, url: str, data: list, schema: str, headers: dict | None = None, batch_size: int = 10_000) -> DataFrame:
+def read_rest(spark: SparkSession, method: str, url: str, data: list, schema: str, headers: dict | None = None, batch_size: int = 10_000, retries: int = 2, on_error: str = "skip") -> DataFrame:
     """GET ``url`` + item, or POST each item as JSON and take the answer's ``result``."""
     spark.dataSource.register(RestSource)
     reader = spark.read.format("millrace_rest").schema(schema).option("method", method).option("url", url)
-    return reader.option("data", json.dumps(data)).option("headers", json.dumps(headers or {})).option("batch_size", batch_size).load()
+    return reader.option("data", json.dumps(data)).option("headers", json.dumps(headers or {})).option("batch_size", batch_size).option("retries", retries).option("on_error", on_error).load()

@@ -13,6 +13,7 @@ from millrace.functions.expr import col
 from millrace.functions.sqltext import aliased, split_list
 from millrace.operators.patterns import conjuncts
 from millrace.operators.stats import gramian
+from millrace.operators.patterns import first_match
 from millrace.operators.timejoin import asof_join, hot_span, range_join
 from millrace.operators.windows import Hopping, OnCompletion, OnEvent, Session, Sliding, shift, windowed
 
@@ -249,3 +250,20 @@ def test_hot_keys_are_cut(spark, monkeypatch):
     span = hot_span(df, "k", F.col("t"))
     sizes = [r["count"] for r in df.filter("k = 'hot' and t is not null").groupBy((F.col("t") / span).cast("long")).count().collect()]
     assert len(sizes) > 8 and max(sizes) < 3 * np.median(sizes)
+
+
+def test_join_keeps_the_order_of_a_side(spark):
+    a = Frame(spark.createDataFrame([(1, 5), (2, 3)], "k int, t long")).ordered_by("t")
+    b = Frame(spark.createDataFrame([(1, 9), (2, 8)], "k int, t long")).ordered_by("t")
+    assert a.join(b, on="k", maintain_sort_order="left").time == "t"
+    assert a.join(b, on="k", maintain_sort_order="right").time == "t_2"
+    with pytest.raises(ValueError):
+        a.join(Frame(b.df), on="k", maintain_sort_order="right")
+
+
+def test_a_scan_holds_one_path(spark):
+    """Many candidates for the middle event: one match per start, found without all the paths."""
+    rows = [{"__t": k, "__id": k, "v": k % 7} for k in range(200)]
+    steps = [lambda r, p: r["v"] > 1, lambda r, p: r["v"] > 2, lambda r, p: r["v"] == 6 and r["__t"] > 20]
+    assert first_match(rows, 0, steps, list("abcd"), 10_000) == [0, 2, 3, 27]
+    assert first_match(rows, 0, [lambda r, p: False], list("ab"), 50) is None
