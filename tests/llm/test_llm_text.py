@@ -372,3 +372,19 @@ def test_shares_of_the_query(spark, sf):
 @pytest.mark.parametrize("name", ["p6_passages", "p7_shares", "p8_restored"])
 def test_queries_run(spark, sf, name):
     assert QUERIES[name](spark, sf).count() > 0
+
+
+def test_short_passages_and_sentences_of_one_pattern(spark, items):
+    """A short passage with one word in eight changed is found; a sentence that has only the pattern of one isn't."""
+    rng = random.Random(15)
+    texts, want = [], set()
+    for i in sorted(items):
+        w = items[i].split()
+        if len(w) >= 40 and len(want) < 60:
+            part = w[6:34]
+            for at in rng.sample(range(1, 27), 3):
+                part[at] = "".join(rng.choices("bdfgklmnprst", k=6))
+            texts.append(" ".join([*invented(rng, 40), *part, *invented(rng, 40)]))
+            want.add((i, len(texts) - 1))
+    found = leak_found(spark, texts, items)
+    assert found <= want and len(found) >= 0.85 * len(want)
