@@ -381,8 +381,11 @@ class ItemIndex:
         while len(t):
             span, wrong = end[t] - at[f] + 1, errors[t] - errors[f]
             # what is in error: few words, or a few more if they are not just the telling ones
-            share = (told[t] - told[f] + self.weight[lo:hi][i[f]]) / (all_told[i[t] + 1] - all_told[i[f]])
-            few = (wrong <= (span - _STRICT) * rate) | (wrong <= span * _LOOSE + 0.5) & (share >= _TOLD)
+            few = wrong <= (span - _STRICT) * rate
+            more = np.flatnonzero((wrong <= span * _LOOSE + 0.5) & ~few & (span >= least))
+            if len(more):
+                a, z = f[more], t[more]
+                few[more] = told[z] - told[a] + self.weight[lo:hi][i[a]] >= _TOLD * (all_told[i[z] + 1] - all_told[i[a]])
             ok = np.flatnonzero((span >= least) & few & (own[t] - own[f] >= least * _OWN))
             if len(ok):
                 k = ok[np.lexsort((t[ok], f[ok], -span[ok], chain[t[ok]]))[0]]
