@@ -1,7 +1,7 @@
 """millrace: a Spark-first engine for relational, time-series and corpus work.
 
-Every operator is a builder that returns a lazy ``DataFrame``; Catalyst picks the
-physical plan.  Python only runs where no built-in expression has the semantics,
+An operator is a builder that returns a ``DataFrame``; Catalyst picks the physical plan.
+Those that need statistics first run jobs while they build it.  Python only runs where no built-in expression has the semantics,
 and then on Arrow batches.
 """
 
