@@ -12,11 +12,14 @@ met twice and none outside the span's bins.
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
-from collections.abc import Callable, Sequence
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,53 +111,163 @@ def _qualified(predicate: str, me: str, earlier: list[str], columns: list[str])
 def scan_pattern(df: DataFrame, *, time: str, by: str, events: Sequence[tuple[str, Callable[[dict, dict], bool]]], span: Size, id: str) -> DataFrame:
     """The first match of every starting row, with predicates in Python: ``f(row, earlier)`` where ``earlier`` maps event names to rows.
 
-    Same result as ``match_pattern`` for predicates that SQL can't express.  Keys are cut into
-    spans of time; a task sees the rows of one span and the one after it, never a whole key.
+    Same result as ``match_pattern`` for predicates that SQL can't express.  A predicate's answer
+    depends on its arguments only.  Keys are cut into spans of time, so a hot key is many tasks; a task
+    goes through its keys and spans in order and holds the rows of one span and one batch, whatever the number of keys.
     """
     width = units(span)
-    names = [n for n, _ in events]
     cut = df.withColumn("__t", ordinal(df, time)).filter(F.col("__t").isNotNull() & F.col(by).isNotNull())
     at = floor_div(F.col("__t"), width)
-    cut = cut.withColumn("__home", at).withColumn("__part", F.explode(F.array(at, at - 1)))
-    schema = T.StructType([df.schema[by], *[T.StructField(f"{n}_{c}", df.schema[c].dataType) for n in names for c in (time, id)]])
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["__t", id]).assign(__id=pdf[id]).to_dict("records")
-        found = []
-        for k, row in enumerate(rows):
-            if row["__home"] != row["__part"] or not events[0][1](row, {}):
-                continue
-            best = first_match(rows, k, [ok for _, ok in events[1:]], names, width)
-            if best:
-                found.append([row[by], *[rows[i][c] for i in best for c in (time, id)]])
-        return pd.DataFrame(found, columns=[f.name for f in schema.fields])
+    cut = cut.withColumn("__home", at).withColumn("__part", F.explode(F.array(at, at - 1))).withColumn("__own", F.expr("__home = __part"))
+    inside = Window.partitionBy(by, "__part").orderBy("__t", id)
+    cut = cut.withColumn("__new", F.row_number().over(inside) == 1).select(*df.columns, "__t", "__own", "__new")
+    schema = T.StructType([df.schema[by], *[T.StructField(f"{n}_{c}", df.schema[c].dataType) for n, _ in events for c in (time, id)]])
+    zone = df.sparkSession.conf.get("spark.sql.session.timeZone")
+    return cut.mapInArrow(_Scan(list(df.columns), time, by, id, list(events), width, zone), schema)
+
+
+def _values(column: pa.Array, zone: str) -> list:
+    """A column as predicates see it: null is NaN, NaT or None as in pandas, but whole numbers beside nulls stay whole."""
+    if pa.types.is_integer(column.type) and column.null_count:
+        return [math.nan if v is None else v for v in column.to_pylist()]
+    got = column.to_pandas(date_as_object=True, maps_as_pydicts="strict")
+    if pa.types.is_timestamp(column.type) and column.type.tz:
+        got = got.dt.tz_convert(zone).dt.tz_localize(None)
+    return got.tolist()
+
+
+class _Asked(BaseException):
+    """A predicate wants an earlier event."""
+
+
+class _Unknown(Mapping):
+    """Earlier events that aren't known yet: whoever looks at one is noted and stopped."""
+
+    def __init__(self) -> None:
+        self.asked = False
+
+    def __getitem__(self, name: str) -> dict:
+        self.asked = True
+        raise _Asked
 
-    return cut.groupBy(by, "__part").applyInPandas(search, schema)
+    def __iter__(self) -> Iterator:
+        self.asked = True
+        raise _Asked
 
+    def __len__(self) -> int:
+        self.asked = True
+        raise _Asked
 
-def first_match(rows: list[dict], start: int, steps: Sequence[Callable[[dict, dict], bool]], names: Sequence[str], width: int) -> list[int] | None:
+
+def ruled_out(ok: Callable[[dict, dict], bool], row: dict) -> bool:
+    """Whether the predicate refuses the row without a look at earlier events, so for any of them."""
+    past = _Unknown()
+    try:
+        return not ok(row, past) and not past.asked
+    except (_Asked, Exception):  # an error is met again, if the row is ever reached
+        return False
+
+
+class _Scan:
+    """Goes through rows in order of key, span and time, batch by batch."""
+
+    def __init__(self, columns: list[str], time: str, by: str, id: str, events: list, width: int, zone: str) -> None:
+        self.columns, self.time, self.by, self.id, self.width, self.zone = columns, time, by, id, width, zone
+        self.names, self.steps = [n for n, _ in events], [ok for _, ok in events]
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: pa.Table | None = None
+        rows: list[dict] = []
+        own: list[bool] = []
+        starts: list[int] = []  # rows that may start a match and weren't searched yet
+        likely: list[list[int]] = [[] for _ in self.steps[1:]]  # rows that a later step doesn't rule out
+        for batch in itertools.chain(batches, [None]):
+            ends = []  # of the runs of one key and span that are over
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                base, told = len(rows), pa.Table.from_batches([batch]).select(list(dict.fromkeys([self.by, self.time, self.id])))
+                kept = told if kept is None else pa.concat_tables([kept, told])
+                names = [*self.columns, "__t"]
+                fresh = [dict(zip(names, v)) for v in zip(*[_values(batch.column(c), self.zone) for c in names])]
+                rows += fresh
+                own += batch.column("__own").to_pylist()
+                for k, new in enumerate(batch.column("__new").to_pylist(), base):
+                    if new and k:
+                        ends.append(k)
+                    if own[k] and self.steps[0](rows[k], {}):
+                        starts.append(k)
+                for step, ok in enumerate(self.steps[1:]):
+                    likely[step] += [k for k, row in enumerate(fresh, base) if not ruled_out(ok, row)]
+            elif not rows:
+                return
+            last, ends = len(rows), [*ends, len(rows)]
+            found, done, run = [], 0, 0
+            for k in starts:
+                while ends[run] <= k:
+                    run += 1
+                if batch is not None and ends[run] == last and rows[k]["__t"] + self.width >= rows[-1]["__t"]:
+                    break  # its span isn't over
+                best = first_match(rows, k, self.steps[1:], self.names, self.width, ends[run], likely)
+                if best:
+                    found.append(best)
+                done += 1
+            if found:
+                yield self.matches(kept, found)
+            starts = starts[done:]
+            # of what comes, a match can only start at a row that waits or isn't here yet
+            gone = starts[0] if starts else last
+            kept, rows, own = kept.slice(gone) if gone < last else None, rows[gone:], own[gone:]
+            starts = [k - gone for k in starts]
+            likely = [[k - gone for k in some[bisect_left(some, gone) :]] for some in likely]
+
+    def matches(self, kept: pa.Table, found: list[list[int]]) -> pa.RecordBatch:
+        names, columns = [self.by], [kept.column(self.by).take([m[0] for m in found])]
+        for n, at in zip(self.names, zip(*found)):
+            for c in (self.time, self.id):
+                names.append(f"{n}_{c}")
+                columns.append(kept.column(c).take(list(at)))
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in columns], names=names)
+
+
+def first_match(
+    rows: list[dict], start: int, steps: Sequence[Callable[[dict, dict], bool]], names: Sequence[str], width: int, end: int | None = None, likely: Sequence[list[int]] | None = None
+) -> list[int] | None:
     """The rows of the match from ``start`` that completes first, ties by earlier middle times, then ids.
 
-    Depth first, so only one path is held; a path that can't complete before the best one is given up.
+    Rows are in order of time and id, those of the key end before ``end``; ``likely`` lists, for each
+    step, the rows that it may hold for (all, if not given).  Depth first, so only one path is held; a
+    path that can't complete before the best one is given up.
     """
     limit = rows[start]["__t"] + width
-    best: tuple | None = None
+    end = bisect_right(rows, limit, start, len(rows) if end is None else end, key=_when)
+    among = likely or [range(end)] * len(steps)
+    upto = [bisect_left(some, end) for some in among]
+    if any(bisect_right(some, start) >= hi for some, hi in zip(among, upto)):
+        return None
+    best: tuple[list[int], list[int]] | None = None
 
     def go(path: list[int], past: dict) -> None:
         nonlocal best
         step = len(path) - 1
         last = step == len(steps) - 1
-        for j in range(path[-1] + 1, len(rows)):
+        some, ok, since = among[step], steps[step], rows[path[-1]]["__t"]
+        middle = [rows[i]["__t"] for i in path[1:]]
+        for at in range(bisect_right(some, path[-1]), upto[step]):
+            j = some[at]
             t = rows[j]["__t"]
-            if t > limit or best is not None and (t > best[0][0] or not last and t >= best[0][0]):
+            # of paths that complete at one time, with middle events at the same times, the first has the least ids
+            if best is not None and (t > best[0][0] or t == best[0][0] and (not last or middle >= best[0][1:])):
                 break
-            if t > rows[path[-1]]["__t"] and steps[step](rows[j], past):
+            if t > since and ok(rows[j], past):
                 if last:
-                    whole = [*path, j]
-                    rank = ([t, *[rows[i]["__t"] for i in whole[1:-1]]], [rows[i]["__id"] for i in whole[1:]], whole)
-                    best = rank if best is None or rank[:2] < best[:2] else best
-                else:
-                    go([*path, j], {**past, names[step + 1]: rows[j]})
+                    best = [t, *middle], [*path, j]
+                    break
+                go([*path, j], {**past, names[step + 1]: rows[j]})
 
     go([start], {names[0]: rows[start]})
-    return best and best[2]
+    return best and best[1]
+
+
+def _when(row: dict) -> int:
+    return row["__t"]

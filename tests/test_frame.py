@@ -13,7 +13,7 @@ from millrace.functions.expr import col
 from millrace.functions.sqltext import aliased, split_list
 from millrace.operators.patterns import conjuncts
 from millrace.operators.stats import gramian
-from millrace.operators.patterns import first_match
+from millrace.operators.patterns import first_match, match_pattern, ruled_out, scan_pattern
 from millrace.operators.timejoin import asof_join, hot_span, range_join
 from millrace.operators.windows import Hopping, OnCompletion, OnEvent, Session, Sliding, shift, windowed
 
@@ -267,3 +267,64 @@ def test_a_scan_holds_one_path(spark):
     steps = [lambda r, p: r["v"] > 1, lambda r, p: r["v"] > 2, lambda r, p: r["v"] == 6 and r["__t"] > 20]
     assert first_match(rows, 0, steps, list("abcd"), 10_000) == [0, 2, 3, 27]
     assert first_match(rows, 0, [lambda r, p: False], list("ab"), 50) is None
+
+
+_SQL_STEPS = [("a", "kind = 'x'"), ("b", "kind = 'y' and v > a.v"), ("c", "kind = 'y' and v <> b.v"), ("d", "kind = 'z' and v < b.v")]
+_SCAN_STEPS = [
+    ("a", lambda r, p: r["kind"] == "x"),
+    ("b", lambda r, p: r["kind"] == "y" and r["v"] > p["a"]["v"]),
+    ("c", lambda r, p: r["v"] != p["b"]["v"] and r["kind"] == "y"),
+    ("d", lambda r, p: r["kind"] == "z" and r["v"] < p["b"]["v"]),
+]
+
+
+@pytest.mark.parametrize("batch", [1, 7, 10_000])
+def test_a_scan_goes_through_many_keys_at_once(spark, batch):
+    """Same matches as in SQL wherever batches end, with equal times, a hot key and spans below zero; not a Python call per key and span."""
+    rng = np.random.default_rng(5)
+    n = 1_500
+    got = [(int(k), int(t), i, str(kind), float(v)) for i, (k, t, kind, v) in enumerate(zip(rng.choice([0, 0, 0, *range(1, 40)], n), rng.integers(-150, 150, n), rng.choice(list("xyz"), n), rng.integers(0, 9, n)))]
+    df = spark.createDataFrame([*got, (None, 1, n, "x", 0.0), (1, None, n + 1, "x", 0.0)], "k int, t long, i long, kind string, v double").repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for upto in (2, 3, 4):
+            scan = scan_pattern(df, time="t", by="k", events=_SCAN_STEPS[:upto], span=60, id="i")
+            want = match_pattern(df, time="t", by="k", events=_SQL_STEPS[:upto], span=60, id="i")
+            assert rows(scan) == rows(want) and scan.count() > 20
+            assert "FlatMapGroupsInPandas" not in plan(scan)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_a_scan_keeps_ids_whole_beside_nulls_and_sees_times(spark):
+    big = 2**60 + 1
+    df = spark.createDataFrame([(1, 1, big, None), (1, 2, big + 2, 5), (1, 3, None, 6)], "k int, s long, i long, v long").withColumn("t", F.timestamp_seconds("s"))
+    steps = [("a", lambda r, p: r["s"] == 1 and r["v"] != r["v"]), ("b", lambda r, p: r["t"] - p["a"]["t"] == pd.Timedelta(seconds=1) and r["v"] > 4)]
+    got = scan_pattern(df, time="t", by="k", events=steps, span=timedelta(minutes=1), id="i").collect()
+    assert [(r["k"], r["a_i"], r["b_i"], r["b_t"].second) for r in got] == [(1, big, big + 2, 2)]
+    assert scan_pattern(df.limit(0), time="t", by="k", events=steps, span=timedelta(minutes=1), id="i").count() == 0
+
+
+def test_a_scan_tries_equal_times_once():
+    """Sixty equal rows at each of three times: the first path through them is the answer, the other 3,599 aren't tried."""
+    rows, tried = [{"__t": k // 60, "__id": k} for k in range(180)], []
+    step = lambda r, p: tried.append(r) is None
+    assert first_match(rows, 0, [step, step], list("abc"), 10) == [0, 60, 120] and len(tried) < 200
+
+
+def test_rows_are_ruled_out_without_earlier_events_only():
+    row = {"kind": "x", "v": 1}
+    assert ruled_out(lambda r, p: r["kind"] == "y" and r["v"] > p["a"]["v"], row)
+    assert not ruled_out(lambda r, p: r["kind"] == "x" and r["v"] > p["a"]["v"], row)
+    assert not ruled_out(lambda r, p: r["kind"] == "x", row)
+    for look in (lambda p: p["a"], lambda p: p.get("a"), lambda p: "a" in p, lambda p: {**p}, lambda p: len(p), lambda p: bool(p), lambda p: list(p.items()), lambda p: p == {}, lambda p: 1 / 0):
+        assert not ruled_out(lambda r, p: look(p) and False, row)
+
+    def hides(r, p):
+        try:
+            return p["a"]["v"] > r["v"]
+        except:  # noqa: E722
+            return False
+
+    assert not ruled_out(hides, row)
