@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ _SENTENCE_END = re.compile(rb"[a-z\x80-\xff]{3}[.?!]+[^\s\w]{0,4}\s+")
 _STRICT = 11
 #: Share of words in error that a short stretch may have if the words that agree have so much of what its words tell.
 _LOOSE, _TOLD = 0.125, 0.82
+#: Words in a row that an alignment doesn't miss.
+_MISSED = 12
 #: Most words of a page header, and the middles of the lengths that support is looked for beyond.
 _HEADER = 18
 _JUMPS = tuple(range(2 * _SHIFT + 1, _HEADER + _SHIFT + 1, 2 * _SHIFT + 1))
@@ -267,10 +270,15 @@ class ItemIndex:
         pair = doc[p] * np.int64(len(self.ids)) + self.item[q]
         order = np.argsort(pair, kind="stable")
         keys, firsts = np.unique(pair[order], return_index=True)
-        for key, mine in zip(keys.tolist(), np.split(order, firsts[1:])):
-            best = self._align(words, doc, p[mine], q[mine], least, rate)
-            if best:
-                out.append((key // len(self.ids), key % len(self.ids), *best))
+        near, held = [], 0
+        for k, mine in enumerate(np.split(order, firsts[1:])[: len(keys)]):
+            near.append(self._near(words, doc, p[mine], q[mine]))
+            held += len(near[-1].i)
+            if held >= _MATCHES or k == len(keys) - 1:
+                for key, best in zip(keys[k + 1 - len(near) : k + 1].tolist(), self._align(near, least, rate)):
+                    if best:
+                        out.append((key // len(self.ids), key % len(self.ids), *best))
+                near, held = [], 0
         return out
 
     def _support(self, bigrams: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -338,66 +346,160 @@ class ItemIndex:
         order = np.lexsort((j, i))
         return i[order], j[order]
 
-    def _align(self, words: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray, least: int, rate: float) -> tuple[int, int, int] | None:
-        """The longest stretch of the item that an alignment of the two word sequences covers within the error rate."""
+    def _near(self, words: np.ndarray, doc: np.ndarray, p: np.ndarray, q: np.ndarray) -> _Matches:
+        """The equal words of a text and an item near a diagonal that has a hit."""
         item = self.item[q[0]]
         lo, hi = np.searchsorted(self.item, item), np.searchsorted(self.item, item, side="right")
         d0, d1 = np.searchsorted(doc, doc[p[0]]), np.searchsorted(doc, doc[p[0]], side="right")
         d0, d1 = max(d0, p.min() - (q.max() - lo) - _HEADER * 4), min(d1, p.max() + (hi - q.min()) + _HEADER * 4)
-        # only near a diagonal that has a hit
         i, j = self._matches(lo, hi, words[d0:d1], np.unique((p - d0) - (q - lo)))
-        rank = self.rank[lo:hi]
+        rank, weight = self.rank[lo:hi], self.weight[lo:hi]
         first, last = np.append(0, rank[:-1] + 1), np.append(rank[1:] - 1, rank[-1])
-        n = len(i)
-        score, back, gap = np.ones(n), np.full(n, -1, dtype=np.int64), np.zeros(n)
-        reach = np.searchsorted(i, i - 12)  # an alignment that misses twelve words in a row has ended
-        for k in range(1, n):
-            a = reach[k]
-            di, dj = i[k] - i[a:k] - 1, j[k] - j[a:k] - 1  # words without a number can't be in error
-            # a page header in between is one addition, not as many as it has words
-            added = np.where(dj - di > 4, np.where(dj - di <= _HEADER, di + 1, 99), dj)
-            cost = np.where((i[a:k] < i[k]) & (j[a:k] < j[k]), np.maximum(di, added), 99)
-            gain = score[a:k] - cost
-            if len(gain):
-                b = int(gain.argmax())
-                if gain[b] > 0:
-                    score[k], back[k], gap[k] = gain[b] + 1, a + b, cost[b]
+        told = np.cumsum(weight)
+        # an alignment that misses twelve words in a row has ended
+        reach = np.arange(len(i)) - np.searchsorted(i, i - _MISSED)
+        return _Matches(i, j, reach, first[i], last[i], self.own[lo:hi][i], weight[i], np.append(0.0, told[:-1])[i], told[i])
+
+    def _align(self, near: list[_Matches], least: int, rate: float) -> list[tuple[int, int, int] | None]:
+        """For each pair the longest stretch of the item that an alignment of the two word sequences covers within the error rate.
+
+        All pairs are worked on together, one word of each at a time.
+        """
+        n = np.array([len(x.i) for x in near])
+        starts = np.cumsum(n) - n
+        m = _Matches(*(np.concatenate(x) for x in zip(*near)))
+        c = _chains(m, n, starts)
+        pair = np.repeat(np.arange(len(n)), n)
+        at, end = m.at, m.end  # words without a number beside a stretch belong to it
+        best = np.full((4, len(n)), -1)
         # every stretch of every chain: all ends go back along their chains together
-        errors, own, root = gap.copy(), self.own[lo:hi][i].astype(np.int64), np.arange(n)
-        told, all_told = self.weight[lo:hi][i].copy(), np.append(0.0, np.cumsum(self.weight[lo:hi]))
-        for k in np.flatnonzero(back >= 0):
-            errors[k] += errors[back[k]]
-            own[k] += own[back[k]]
-            told[k] += told[back[k]]
-            root[k] = root[back[k]]
-        # the chain of the best score that has a stretch, and of that chain the longest
-        chain = np.empty(n, dtype=np.int64)
-        chain[np.argsort(-score, kind="stable")] = np.arange(n)
-        for k in np.flatnonzero(back >= 0)[::-1]:
-            chain[back[k]] = min(chain[back[k]], chain[k])
-        at, end = first[i], last[i]  # words without a number beside a stretch belong to it
-        t = np.flatnonzero(end - at[root] + 1 >= least)
-        f, best = t, None
+        t = np.flatnonzero(end - at[c.root] + 1 >= least)
+        f = t
         while len(t):
-            span, wrong = end[t] - at[f] + 1, errors[t] - errors[f]
+            span, wrong = end[t] - at[f] + 1, c.errors[t] - c.errors[f]
             # what is in error: few words, or a few more if they are not just the telling ones
             few = wrong <= (span - _STRICT) * rate
             more = np.flatnonzero((wrong <= span * _LOOSE + 0.5) & ~few & (span >= least))
             if len(more):
                 a, z = f[more], t[more]
-                few[more] = told[z] - told[a] + self.weight[lo:hi][i[a]] >= _TOLD * (all_told[i[z] + 1] - all_told[i[a]])
-            ok = np.flatnonzero((span >= least) & few & (own[t] - own[f] >= least * _OWN))
+                few[more] = c.told[z] - c.told[a] + m.weight[a] >= _TOLD * (m.told_to[z] - m.told_before[a])
+            ok = np.flatnonzero((span >= least) & few & (c.own[t] - c.own[f] >= least * _OWN))
             if len(ok):
-                k = ok[np.lexsort((t[ok], f[ok], -span[ok], chain[t[ok]]))[0]]
-                found = (int(chain[t[k]]), -int(span[k]), int(f[k]), int(t[k]))
-                best = found if best is None else min(best, found)
-            more = back[f] >= 0
-            t, f = t[more], back[f[more]]
-        return best and (int(at[best[2]]), -best[1], int(errors[best[3]] - errors[best[2]]))
+                # the chain of the best score that has a stretch, and of that chain the longest
+                found = np.stack([c.chain[t[ok]], -span[ok], f[ok], t[ok]])
+                of = pair[t[ok]]
+                order = np.lexsort((*found[::-1], of))
+                order = order[np.append(True, np.diff(of[order]) != 0)]
+                of, found = of[order], found[:, order]
+                was = best[:, of]
+                less, same = was[0] < 0, np.ones(len(of), dtype=bool)
+                for x, y in zip(found, was):
+                    less |= same & (x < y)
+                    same &= x == y
+                best[:, of[less]] = found[:, less]
+            more = c.back[f] >= 0
+            t, f = t[more], c.back[f[more]]
+        return [(int(at[f]), -length, int(c.errors[t] - c.errors[f])) if t >= 0 else None for _, length, f, t in best.T.tolist()]
+
+
+class _Matches(NamedTuple):
+    """Equal words of texts and items, for each pair in the order of the item and then of the text."""
+
+    #: places in the item and in the text, and how many matches before may come before this one in an alignment
+    i: np.ndarray
+    j: np.ndarray
+    reach: np.ndarray
+    #: first and last word of the item, those without a number included, that belong to the match
+    at: np.ndarray
+    end: np.ndarray
+    own: np.ndarray
+    #: how telling the word is, and all words of the item before it and up to it
+    weight: np.ndarray
+    told_before: np.ndarray
+    told_to: np.ndarray
+
+
+class _Chains(NamedTuple):
+    """The best alignment that ends at each match: the match before (-1: none) and its first, sums from that one on, the place of its chain."""
+
+    back: np.ndarray
+    root: np.ndarray
+    errors: np.ndarray
+    own: np.ndarray
+    told: np.ndarray
+    chain: np.ndarray
+
+
+def _chains(m: _Matches, n: np.ndarray, starts: np.ndarray) -> _Chains:
+    """The chains of pairs of ``n`` matches each: one match of every pair after the other, pairs of like size together."""
+    total = len(m.i)
+    out = _Chains(np.full(total, -1), np.arange(total), np.zeros(total, dtype=np.int32), m.own.astype(np.int32), m.weight.copy(), np.zeros(total, dtype=np.int64))
+    some = np.flatnonzero(n)
+    wide = np.zeros(len(n), dtype=np.int64)
+    wide[some] = np.maximum.reduceat(m.reach, starts[some]) if len(some) else 0
+    like = np.ceil(np.log2(n[some])).astype(np.int64) * 64 + np.ceil(np.log2(wide[some] + 1)).astype(np.int64)
+    for kind in np.unique(like):
+        mine = some[like == kind]
+        mine = mine[np.argsort(-n[mine], kind="stable")]
+        _chains_of_like(m, n[mine], starts[mine], out)
+    return out
 
 
-#: Words of a document that are matched with an item at once.
-_BAND = 20_000
+def _chains_of_like(m: _Matches, n: np.ndarray, starts: np.ndarray, out: _Chains) -> None:
+    """The same for pairs with about as many matches, most first; a row per place, a column per pair."""
+    steps = np.arange(n[0])
+    inside = steps[:, None] < n
+    flat = (steps[:, None] + starts)[inside]
+
+    def table(x: np.ndarray, kind: type) -> np.ndarray:
+        t = np.zeros(inside.shape, dtype=kind)
+        t[inside] = x[flat]
+        return t
+
+    i, j, own, told = table(m.i, np.int32), table(m.j, np.int32), table(m.own, np.int32), table(m.weight, np.float64)
+    wide = table(m.reach, np.int64).max(axis=1).tolist()
+    score, errors = np.ones(i.shape, dtype=np.int32), np.zeros(i.shape, dtype=np.int32)
+    back, root = np.full(i.shape, -1), np.repeat(steps[:, None], len(n), axis=1)
+    active = inside.sum(axis=1).tolist()
+    columns = np.arange(len(n))
+    for k in range(1, len(steps)):
+        a, c = k - wide[k], active[k]
+        if a == k:
+            continue
+        di, dj = i[k, :c] - i[a:k, :c] - 1, j[k, :c] - j[a:k, :c] - 1  # words without a number can't be in error
+        apart = dj - di
+        # a page header in between is one addition, not as many as it has words
+        cost = np.where(apart > 4, np.where(apart <= _HEADER, di + 1, 99), np.maximum(di, dj))
+        cost[(di < 0) | (dj < 0)] = 99
+        gain = score[a:k, :c] - cost
+        gain[di >= _MISSED] = 0
+        b = gain.argmax(axis=0)
+        most = gain[b, columns[:c]]
+        on = np.flatnonzero(most > 0)
+        if len(on):
+            b = b[on]
+            score[k, on] = most[on] + 1
+            errors[k, on] = cost[b, on] + errors[a + b, on]
+            back[k, on] = b = a + b
+            own[k, on] += own[b, on]
+            told[k, on] += told[b, on]
+            root[k, on] = root[b, on]
+    # of the chains that go through a match, the one of the best score
+    chain = np.empty(score.size, dtype=np.int64)
+    chain[np.argsort(-score, axis=None, kind="stable")] = np.arange(score.size)
+    chain = chain.reshape(score.shape)
+    for k in range(len(steps) - 1, 0, -1):
+        on = np.flatnonzero(back[k] >= 0)
+        if len(on):
+            b = back[k, on]
+            chain[b, on] = np.minimum(chain[b, on], chain[k, on])
+    out.back[flat] = np.where(back >= 0, back + starts, -1)[inside]
+    out.root[flat] = (root + starts)[inside]
+    out.errors[flat], out.own[flat], out.told[flat], out.chain[flat] = errors[inside], own[inside], told[inside], chain[inside]
+
+
+#: Words of a document that are matched with an item at once, and equal words of texts and items that are aligned at once (or those of one pair).
+_BAND, _MATCHES = 20_000, 200_000
 #: Bytes of text that are worked on at once.
 _SLICE = 4_000_000
 

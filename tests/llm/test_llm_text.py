@@ -5,8 +5,10 @@ import os
 import random
 import subprocess
 import sys
+import time
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 
 from millrace.llm.catalogue import QUERIES
 from millrace.llm.encoding import Cipher, Cutter, code_pages, decode, find_garbled
-from millrace.llm.leaks import find_leaks
+from millrace.llm import leaks
+from millrace.llm.leaks import ItemIndex, find_leaks
 from millrace.llm.mixture import mix_sources, sainte_lague
 from millrace.llm.words import word_numbers
 
@@ -388,3 +391,95 @@ def test_short_passages_and_sentences_of_one_pattern(spark, items):
             want.add((i, len(texts) - 1))
     found = leak_found(spark, texts, items)
     assert found <= want and len(found) >= 0.85 * len(want)
+
+
+def plain_stretch(m, least, rate):
+    """What an alignment of one pair gives, match after match: first word, words and errors of its best stretch."""
+    n = len(m.i)
+    score, back, errors = [1] * n, [-1] * n, [0] * n
+    own, told, root = [int(x) for x in m.own], m.weight.tolist(), list(range(n))
+    for k in range(n):
+        most = 0
+        for b in range(k):
+            di, dj = int(m.i[k] - m.i[b]) - 1, int(m.j[k] - m.j[b]) - 1
+            if di > 11:
+                continue
+            added = dj if dj - di <= 4 else di + 1 if dj - di <= 18 else 99
+            cost = max(di, added) if di >= 0 and dj >= 0 else 99
+            if score[b] - cost > most:
+                most, back[k], score[k], errors[k] = score[b] - cost, b, score[b] - cost + 1, errors[b] + cost
+        if back[k] >= 0:
+            own[k], told[k], root[k] = own[k] + own[back[k]], told[k] + told[back[k]], root[back[k]]
+    chain = [0] * n
+    for place, k in enumerate(sorted(range(n), key=lambda k: -score[k])):
+        chain[k] = place
+    for k in reversed(range(n)):
+        if back[k] >= 0:
+            chain[back[k]] = min(chain[back[k]], chain[k])
+    best = None
+    for t in range(n):
+        f = t
+        while f >= 0:
+            span, wrong = int(m.end[t] - m.at[f]) + 1, errors[t] - errors[f]
+            tells = told[t] - told[f] + m.weight[f] >= 0.82 * (m.told_to[t] - m.told_before[f])
+            if span >= least and own[t] - own[f] >= least * 0.4 and (wrong <= (span - 11) * rate or wrong <= span * 0.125 + 0.5 and tells):
+                found = (chain[t], -span, f, t)
+                best = found if best is None or found < best else best
+            f = back[f]
+    return best and (int(m.at[best[2]]), -best[1], errors[best[3]] - errors[best[2]])
+
+
+def damaged_passages(rng, items, n):
+    """Texts with parts of items, words changed, left out, repeated and added."""
+    texts = []
+    for k in range(n):
+        w = rng.choice(items)
+        start = rng.randrange(len(w) // 2)
+        part = list(w[start : start + rng.choice((12, 26, 32, 60, 150))])
+        for _ in range(rng.randrange(len(part) // 5)):
+            at = rng.randrange(len(part))
+            part[at : at + 1] = rng.choice(([], invented(rng, 1), [part[at]] * 2, [*invented(rng, 9), part[at]]))
+        part = part * 12 if k % 25 == 0 else part
+        texts.append([*invented(rng, 20), *part, *rng.choice(items)[:6], *part[: rng.choice((0, 9, 30))], *invented(rng, 20)])
+    return texts
+
+
+@pytest.mark.parametrize("most", [1, 3_000, 200_000])
+def test_pairs_aligned_together_give_what_each_gives_by_itself(monkeypatch, most):
+    rng = random.Random(31)
+    few = invented(rng, 25)  # words that recur
+    items = [[rng.choice(few) if rng.random() < 0.3 else x for x in invented(rng, n)] for n in (30, 60, 120, 260)]
+    index = ItemIndex([*range(4)], [" ".join(x) for x in items])
+    index.own[40:52] = False
+    words, doc, _ = word_numbers(pa.array([" ".join(x) for x in damaged_passages(rng, items, 150)]))
+    asked = []
+    near = index._near
+
+    def kept(*x):
+        asked.append((int(x[1][x[2][0]]), int(index.item[x[3][0]]), near(*x)))
+        return asked[-1][2]
+
+    monkeypatch.setattr(index, "_near", kept)
+    monkeypatch.setattr(leaks, "_MATCHES", most)
+    found = index.verified(words, doc, 25, 0.2)
+    want = [(d, i, *best) for d, i, m in asked if (best := plain_stretch(m, 25, 0.2))]
+    assert found == want and 50 < len(want) < len(asked) and max(len(m.i) for _, _, m in asked) > 500
+
+
+def test_many_pairs_cost_less_than_each_by_itself():
+    """Most of the time over a corpus went into aligning one pair after the other: 200 at once took as long as 200 calls."""
+    rng = random.Random(32)
+    items = [invented(rng, 200) for _ in range(20)]
+    index = ItemIndex([*range(20)], [" ".join(x) for x in items])
+    words, doc, _ = word_numbers(pa.array([" ".join([*invented(rng, 20), *rng.choice(items)[20:180], *invented(rng, 20)]) for _ in range(200)]))
+
+    def timed(parts):
+        began = time.process_time()
+        found = sorted((int(d[r[0]]), *r[1:]) for w, d in parts for r in index.verified(w, d - d[0], 25, 0.2) for d in [np.unique(d)])
+        return found, time.process_time() - began
+
+    index.verified(words[:400], doc[:400], 25, 0.2)
+    alone, each = timed([(words[doc == k], doc[doc == k]) for k in range(200)])
+    found, together = timed([(words, doc)])
+    assert found == alone and len(found) == 200
+    assert together < each / 4
