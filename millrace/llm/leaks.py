@@ -36,6 +36,8 @@ MOST_ITEM_WORDS = 2_000_000
 STEPS = 22
 SAMPLED = 10
 WALKS = 6
+#: Sampled steps after which windows are left whose words so far no item has.
+_LOOKS = [2, 4]
 _SEED = 20_11
 #: Words on either side of a hit that support it, and how far from their place.
 _AROUND, _SHIFT = 24, 3
@@ -185,9 +187,10 @@ class ItemIndex:
         self.mask = np.uint64((1 << bits) - 1)
         self.starts = np.zeros(1 << bits, dtype=bool)
         self.starts[self._first_words(self.padded)[:n]] = True
+        self.begun = np.zeros(1 << bits, dtype=bool)
         self.tables = []
         for w in range(walks):
-            keys = self._keys(self.padded, np.arange(n), w)
+            keys, _ = self._keys(self.padded, np.arange(n), w, new=True)
             order = np.argsort(keys, kind="stable")
             uniq, first, count = np.unique(keys[order], return_index=True, return_counts=True)
             seen = np.zeros(1 << bits, dtype=bool)
@@ -215,28 +218,39 @@ class ItemIndex:
         h = padded.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         return ((h >> np.uint64(17)) & self.mask).astype(np.int64)
 
-    def _keys(self, words: np.ndarray, at: np.ndarray, walk: int) -> np.ndarray:
-        """The words that the walk emits at its sampled steps, hashed."""
+    def _keys(self, words: np.ndarray, at: np.ndarray, walk: int, new: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The words that the walk emits at its sampled steps, hashed, and the windows with such a key.
+
+        Windows of which no item has the first words are left on the way; ``new`` ones are those of the items.
+        """
         x = words * self.odd[walk]
         x ^= x >> np.uint32(15)
         here = at.copy()
         key = np.zeros(len(at), dtype=np.uint64)
         sampled = set(self.steps[walk].tolist())
+        looks = set(self.steps[walk][_LOOKS].tolist())
         for t in range(int(self.steps[walk][-1]) + 1):
             emitted = x[here]
             if t in sampled:
                 key = (key ^ emitted) * np.uint64(0x9E3779B97F4A7C15)
                 key ^= key >> np.uint64(29)
+            if t in looks:
+                slot = (key & self.mask).astype(np.int64)
+                if new:
+                    self.begun[slot] = True
+                else:
+                    may = np.flatnonzero(self.begun[slot])
+                    at, here, key, emitted = at[may], here[may], key[may], emitted[may]
             here += (emitted >> np.uint32(t)) & np.uint32(1)
-        return key
+        return key, at
 
     def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word places (in ``words``, in the items) whose windows share a key, each pair once."""
         padded = np.concatenate([words, np.zeros(STEPS + 1, dtype=np.uint32)])
-        at = np.flatnonzero(self.starts[self._first_words(padded)[: len(words)]])
+        begin = np.flatnonzero(self.starts[self._first_words(padded)[: len(words)]])
         got = []
         for w, (seen, uniq, first, count, order) in enumerate(self.tables):
-            keys = self._keys(padded, at, w)
+            keys, at = self._keys(padded, begin, w)
             may = np.flatnonzero(seen[(keys & self.mask).astype(np.int64)])
             k = keys[may]
             slot = np.minimum(np.searchsorted(uniq, k), len(uniq) - 1)

@@ -483,3 +483,20 @@ def test_many_pairs_cost_less_than_each_by_itself():
     found, together = timed([(words, doc)])
     assert found == alone and len(found) == 200
     assert together < each / 4
+
+
+def test_windows_left_early_and_texts_in_blocks_change_nothing(monkeypatch, items):
+    rng = random.Random(33)
+    index = ItemIndex([*items], [*items.values()])
+    held = [*items.values()]
+    mixed = [" ".join([*invented(rng, 9), *rng.choice(held).split()[3:40], *rng.choice(held).split()[:20]]) for _ in range(60)]
+    texts = pa.array([None, *mixed, "", "Это письмо пришло", *mixed[:3], None])
+    whole = word_numbers(texts)
+    monkeypatch.setattr("millrace.llm.words._AT_ONCE", 500)
+    assert all(np.array_equal(a, b) for a, b in zip(word_numbers(texts), whole))
+    begin = np.arange(len(whole[0]))
+    padded = np.append(whole[0], np.zeros(leaks.STEPS + 1, dtype=np.uint32))
+    assert all(len(index._keys(padded, begin, w)[1]) < len(begin) * 0.9 for w in range(leaks.WALKS))
+    hits = index.hits(whole[0])
+    index.begun[:] = True
+    assert len(hits[0]) > 1_000 and all(np.array_equal(a, b) for a, b in zip(index.hits(whole[0]), hits))
